@@ -126,3 +126,14 @@ def as_bytes(values) -> list[bytes | None]:
     import pyarrow as pa
 
     return values.cast(pa.binary() if pa.types.is_string(values.type) else pa.large_binary()).to_pylist()
+
+
+def open_fs(uri: str):
+    """pyarrow file system and path of a folder or file, for any scheme pyarrow knows (file, hdfs, s3, gs)."""
+    from pyarrow import fs
+
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri[5:]
+    elif uri.startswith("/"):
+        uri = "file://" + uri
+    return fs.FileSystem.from_uri(uri)

@@ -28,7 +28,7 @@ from pyspark.sql.functions import arrow_udf
 
 from ._common import fresh
 
-CACHE = 400_000
+CACHE = 700_000
 _MARK = "▁"
 _TOKEN = re.compile(r"[^\W\d_]+", re.UNICODE)
 
@@ -58,28 +58,54 @@ class PieceModel:
     def __getstate__(self):
         return {"langs": self.langs, "pieces": self.pieces, "probs": self.probs, "unknown": self.unknown, "_rows": None, "_cache": {}, "_scores": None}
 
-    def rows(self) -> dict[str, list[float]]:
+    def forward_many(self, words: list[str]) -> np.ndarray:
+        """``forward`` of many words at once: words of one length share the steps of the recursion."""
+        rows, longest = self.row_numbers(), self.longest
+        table = np.vstack([self.probs, np.zeros((1, len(self.langs)))])
+        none, out = len(table) - 1, np.empty((len(words), len(self.langs)))
+        groups: dict[int, list[int]] = {}
+        for k, w in enumerate(words):
+            groups.setdefault(len(w) + 1, []).append(k)
+        for n, ks in groups.items():
+            if n > 40:
+                for k in ks:
+                    out[k] = self.forward(words[k])
+                continue
+            arcs = [(i, j) for j in range(1, n + 1) for i in range(max(0, j - longest), j)]
+            for at in range(0, len(ks), 2048):
+                part = ks[at : at + 2048]
+                found = np.array([[rows.get(s[i:j], none) for i, j in arcs] for s in (_MARK + words[k] for k in part)], np.int32)
+                a = np.zeros((n + 1, len(part), len(self.langs)))
+                a[0] = 1.0
+                used = (found != none).any(axis=0)
+                for j in range(1, n + 1):
+                    a[j] = self.unknown * a[j - 1]
+                    for c in self._ending(n, j):
+                        if used[c]:
+                            a[j] += a[arcs[c][0]] * table[found[:, c]]
+                out[part] = np.log(a[n])
+        return out
+
+    def _ending(self, n: int, j: int) -> range:
+        """Numbers of the arcs that end at j."""
+        first = sum(min(x, self.longest) for x in range(1, j))
+        return range(first, first + min(j, self.longest))
+
+    def row_numbers(self) -> dict[str, int]:
         if self._rows is None:
-            self._rows = dict(zip(self.pieces, self.probs.tolist()))
+            self._rows = {p: k for k, p in enumerate(self.pieces)}
             self.longest = max(map(len, self.pieces), default=1)
         return self._rows
 
-    def word(self, word: str) -> int:
-        """Row of the score matrix with the word's log probability under each language, over all segmentations."""
-        at = len(self._cache)
-        self._scores[at] = self.forward(word)
-        self._cache[word] = at
-        return at
-
     def forward(self, word: str) -> np.ndarray:
-        rows, s = self.rows(), _MARK + word
+        rows, probs, s = self.row_numbers(), self.probs, _MARK + word
         n, k = len(s), len(self.langs)
         unk, longest = self.unknown, self.longest
         out = []
         # where which pieces end, once for all languages
-        ends: list[list[tuple[int, list[float]]]] = []
+        ends: list[list[tuple[int, np.ndarray]]] = []
         for j in range(1, n + 1):
-            ends.append([(i, p) for i in range(max(0, j - longest), j) if (p := rows.get(s[i:j])) is not None])
+            ends.append([(i, p) for i in range(max(0, j - longest), j) if (r := rows.get(s[i:j])) is not None for p in [probs[r]]])
         for c in range(k):
             a, log = [1.0] + [0.0] * n, 0.0
             for j in range(1, n + 1):
@@ -96,20 +122,51 @@ class PieceModel:
             out.append(log + math.log(a[n]))
         return np.array(out)
 
-    def score(self, text: str) -> np.ndarray:
-        ws = _TOKEN.findall(text.lower())
-        if not ws:
-            return np.zeros(len(self.langs))
+    def known(self, words: list[str]) -> list[int]:
+        """Rows of the score matrix that belong to the words; at most CACHE / 4 words at a time."""
         if self._scores is None:
             self._scores = np.empty((CACHE, len(self.langs)))
-        get, word, total = self._cache.get, self.word, np.zeros(len(self.langs))
-        for at in range(0, len(ws), CACHE // 4):
-            part = ws[at : at + CACHE // 4]
-            if len(self._cache) + len(part) > CACHE:
-                self._cache.clear()
-            rows = [v if (v := get(w)) is not None else word(w) for w in part]
-            total += self._scores[rows].sum(axis=0)
-        return total
+        new = [w for w in dict.fromkeys(words) if w not in self._cache]
+        if len(self._cache) + len(new) > CACHE:
+            self._cache.clear()
+            new = list(dict.fromkeys(words))
+        if new:
+            at = len(self._cache)
+            self._scores[at : at + len(new)] = self.forward_many(new)
+            self._cache.update(zip(new, range(at, at + len(new))))
+        get = self._cache.__getitem__
+        return [get(w) for w in words]
+
+    def score_many(self, texts: list[str]) -> np.ndarray:
+        """Log probability of each text under each language; zeros without a letter."""
+        out = np.zeros((len(texts), len(self.langs)))
+        words: list[str] = []
+        owner: list[tuple[int, int]] = []  # text, words of it in this round
+
+        def flush():
+            if words:
+                got = self._scores_of(words)
+                at = 0
+                for k, n in owner:
+                    out[k] += got[at : at + n].sum(axis=0)
+                    at += n
+            words.clear()
+            owner.clear()
+
+        for k, t in enumerate(texts):
+            ws = _TOKEN.findall(t.lower())
+            for x in range(0, len(ws), CACHE // 4):
+                part = ws[x : x + CACHE // 4]
+                if len(words) + len(part) > CACHE // 4:
+                    flush()
+                words += part
+                owner.append((k, len(part)))
+        flush()
+        return out
+
+    def _scores_of(self, words: list[str]) -> np.ndarray:
+        rows = self.known(words)
+        return self._scores[rows]
 
 
 def fit(counts: dict[str, dict[str, float]], pieces: list[str], rounds: int = 2, floor: float = 1e-7) -> PieceModel:
@@ -180,10 +237,10 @@ def predict(docs: DataFrame, model: PieceModel, text_col="text", out="language")
     @arrow_udf("struct<lang:string,score:double>")
     def identify(text: pa.Array) -> pa.Array:
         m = shared.value
+        texts = [t or "" for t in text.to_pylist()]
         lang, score = [], []
-        for t in text.to_pylist():
-            s = m.score(t) if t and m.langs else None
-            if s is None or not _TOKEN.search(t):
+        for t, s in zip(texts, m.score_many(texts)):
+            if not m.langs or not _TOKEN.search(t):
                 lang.append("und")
                 score.append(0.0)
                 continue
