@@ -3,16 +3,24 @@
 from __future__ import annotations
 
 from .decontaminate import OP4_SQL, op4_benchmark_decontamination
+from .jaccard import OP7_SQL, op7_ngram_jaccard_join
 from .langid import op3_language_id
 from .quality import OP2_SQL, op2_quality_rules
+from .token_store import op9_token_ids
+from .warc import OP6_SQL, op6_warc_index
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_language_id": op3_language_id,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op6_warc_index": op6_warc_index,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op9_token_ids": op9_token_ids,
 }
 
 ORACLE = {
     "op2_quality_rules": OP2_SQL,
     "op4_benchmark_decontamination": OP4_SQL,
+    "op6_warc_index": OP6_SQL,
+    "op7_ngram_jaccard_join": OP7_SQL,
 }
