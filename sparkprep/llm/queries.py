@@ -6,6 +6,7 @@ from .decontaminate import OP4_SQL, op4_benchmark_decontamination
 from .jaccard import OP7_SQL, op7_ngram_jaccard_join
 from .langid import op3_language_id
 from .quality import OP2_SQL, op2_quality_rules
+from .substring_dedup import OP10_SQL, op10_substring_dedup
 from .token_store import op9_token_ids
 from .warc import OP6_SQL, op6_warc_index
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op6_warc_index": op6_warc_index,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op9_token_ids": op9_token_ids,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE = {
@@ -23,4 +25,5 @@ ORACLE = {
     "op4_benchmark_decontamination": OP4_SQL,
     "op6_warc_index": OP6_SQL,
     "op7_ngram_jaccard_join": OP7_SQL,
+    "op10_substring_dedup": OP10_SQL,
 }
