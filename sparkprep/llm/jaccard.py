@@ -146,6 +146,7 @@ def jaccard_classes(docs: DataFrame, id_col="doc_id", text_col="text", n=5, perc
     order = spark.sparkContext.broadcast(frequent_shingles(docs, text_col, n, max_frequent))
     text = F.col(f"`{text_col}`")
     signed = docs.select(F.col(f"`{id_col}`").alias("id"), id_key(id_col).alias("k"), F.xxhash64(text).alias("x"), _signatures(order, n, percent)(text).alias("s")).select("id", "k", "x", "s.*")
+    signed = cut(signed)
     classes = signed.filter("n > 0").groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("first"), F.min(F.struct("k", "x", "n", "prefix")).alias("r"))
     classes = cut(classes.select("key", "m", "first", F.col("r.k").alias("rk"), F.col("r.x").alias("rx"), F.col("r.n").alias("n"), F.col("r.prefix").alias("prefix")).withColumn("c", F.monotonically_increasing_id()))
     members = signed.select("id", "n", "key")
