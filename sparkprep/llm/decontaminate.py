@@ -211,24 +211,24 @@ def find_benchmark(
         parts.append(got.withColumn(out, F.struct(m["n_words"].alias("n_words"), m["n_hit"].alias("n_hit"), m["spans"].alias("spans"), found.alias("items"))))
     if n_blocks == 1:
         return parts[0]
+    ks, xs, one, two, rk, rx, rs, ri = fresh(docs, "__k", "__x", "__one", "__two", "__rk", "__rx", "__rs", "__ri")
     # Several blocks: findings (not texts) are merged per document.
     key = [id_key(id_col).alias("k"), F.coalesce(F.xxhash64(f"`{text_col}`"), F.lit(0)).alias("x")]
     some = [p.select(*key, F.col(f"`{out}`.spans").alias("s"), F.col(f"`{out}`.items").alias("i")).filter(F.size("i") > 0) for p in parts[1:]]
     rest = some[0]
     for p in some[1:]:
         rest = rest.union(p)
-    rest = rest.groupBy("k", "x").agg(F.array_sort(F.flatten(F.collect_set("s"))).alias("__s"), F.array_distinct(F.flatten(F.collect_set("i"))).alias("__i"))
+    rest = rest.groupBy("k", "x").agg(F.array_sort(F.flatten(F.collect_set("s"))).alias(rs), F.array_distinct(F.flatten(F.collect_set("i"))).alias(ri))
     m = F.col(f"`{out}`")
-    spans = F.array_sort(F.concat(m["spans"], F.coalesce(F.col("__s"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"))))
+    spans = F.array_sort(F.concat(m["spans"], F.coalesce(F.col(rs), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"))))
     merged = F.aggregate(
         spans,
         F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"),
         lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s))),
     )
-    ks, xs, one, two = fresh(docs, "__k", "__x", "__one", "__two")
     first = parts[0].withColumn(ks, key[0]).withColumn(xs, key[1])
-    joined = first.join(rest.withColumnRenamed("k", "__rk").withColumnRenamed("x", "__rx"), (F.col(ks) == F.col("__rk")) & (F.col(xs) == F.col("__rx")), "left")
-    joined = joined.withColumn(one, merged).withColumn(two, F.array_union(m["items"], F.coalesce(F.col("__i"), F.expr("cast(array() as array<string>)"))))
+    joined = first.join(rest.withColumnRenamed("k", rk).withColumnRenamed("x", rx), (F.col(ks) == F.col(rk)) & (F.col(xs) == F.col(rx)), "left")
+    joined = joined.withColumn(one, merged).withColumn(two, F.array_union(m["items"], F.coalesce(F.col(ri), F.expr("cast(array() as array<string>)"))))
     hit = F.aggregate(F.col(one), F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
     return joined.withColumn(out, F.struct(m["n_words"].alias("n_words"), hit.alias("n_hit"), F.col(one).alias("spans"), F.col(two).alias("items"))).select(*[f"`{c}`" for c in parts[0].columns])
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ._common import as_bytes, hashes, id_key, rolling
+from ._common import as_bytes, fresh, hashes, id_key, rolling
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _SYMBOLS = b"#*$%&|<>"
@@ -101,14 +101,15 @@ def quality_rules(docs: DataFrame, id_col="doc_id", text_col="text", host_col="s
 def without_lines(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source", min_docs=10, max_share=0.01) -> DataFrame:
     """``docs`` with frequent lines taken out of the text, all other columns as they were."""
     host, text = F.col(f"`{host_col}`").cast("string"), F.col(f"`{text_col}`")
+    key, mark, k, t, gone_at = fresh(docs, "__dk", "__dt", "__k", "__t", "__gone")
     hot = frequent_lines(docs, text_col, host_col, min_docs, max_share)
-    lines = docs.select(host.alias("dh"), id_key(id_col).alias("__k"), F.xxhash64(text).alias("__t"), F.posexplode(F.split(text, "\n")).alias("p", "x"))
+    lines = docs.select(host.alias("dh"), id_key(id_col).alias(k), F.xxhash64(text).alias(t), F.posexplode(F.split(text, "\n")).alias("p", "x"))
     lines = lines.withColumn("line", normalised_line(F.col("x"))).filter("line <> ''").withColumns({"g1": F.xxhash64("line"), "g2": F.hash("line")})
-    gone = lines.join(hot, (F.col("g1") == F.col("h1")) & (F.col("g2") == F.col("h2")) & F.col("dh").eqNullSafe(F.col("host"))).groupBy("__k", "__t").agg(F.collect_set("p").alias("__gone"))
-    keyed = docs.withColumn("__dk", id_key(id_col)).withColumn("__dt", F.xxhash64(text))
-    joined = keyed.join(gone, (F.col("__dk") == F.col("__k")) & (F.col("__dt") == F.col("__t")), "left")
-    kept = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("__gone", i))
-    return joined.withColumn(text_col, F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(kept, "\n"))).select(*[f"`{c}`" for c in docs.columns])
+    gone = lines.join(hot, (F.col("g1") == F.col("h1")) & (F.col("g2") == F.col("h2")) & F.col("dh").eqNullSafe(F.col("host"))).groupBy(k, t).agg(F.collect_set("p").alias(gone_at))
+    keyed = docs.withColumn(key, id_key(id_col)).withColumn(mark, F.xxhash64(text))
+    joined = keyed.join(gone, (F.col(key) == F.col(k)) & (F.col(mark) == F.col(t)), "left")
+    kept = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone_at, i))
+    return joined.withColumn(text_col, F.when(F.col(gone_at).isNull(), text).otherwise(F.array_join(kept, "\n"))).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op2_quality_rules(spark, sf_dir):

@@ -39,7 +39,7 @@ def validity(entries: DataFrame) -> DataFrame:
 
 def match_lists(captures: DataFrame, entries: DataFrame, url_col="url", fetched_col="fetched", out="lists") -> DataFrame:
     """``captures`` with a column ``out``: sorted names of the lists that held the host or a parent domain at fetch time."""
-    (out, host, day) = fresh(captures, out, "__host", "__day")
+    (out, host, day, h, d) = fresh(captures, out, "__host", "__day", "__h", "__d")
     c = captures.withColumn(host, host_of(F.col(f"`{url_col}`"))).withColumn(day, F.col(f"`{fetched_col}`").cast("date"))
     seen = c.select(F.col(host).alias("h"), F.col(day).alias("d")).dropna().distinct()
     seen = cut(seen)
@@ -54,8 +54,9 @@ def match_lists(captures: DataFrame, entries: DataFrame, url_col="url", fetched_
     spans = spans.withColumn("p", F.explode(F.sequence(period(F.col("since")), F.greatest(period(F.col("since")), period(to)))))
     hits = probes.join(spans, ["domain", "p"]).filter((F.col("since") <= F.col("d")) & (F.col("until").isNull() | (F.col("d") < F.col("until"))))
     verdicts = cut(hits.groupBy("h", "d").agg(F.array_sort(F.collect_set("list")).alias(out)))
-    joined = c.join(verdicts, (F.col(host) == F.col("h")) & (F.col(day) == F.col("d")), "left")
-    return joined.withColumn(out, F.coalesce(F.col(out), F.array().cast("array<string>"))).drop(host, day, "h", "d")
+    verdicts = verdicts.select(F.col("h").alias(h), F.col("d").alias(d), out)
+    joined = c.join(verdicts, (F.col(host) == F.col(h)) & (F.col(day) == F.col(d)), "left")
+    return joined.withColumn(out, F.coalesce(F.col(out), F.array().cast("array<string>"))).drop(host, day, h, d)
 
 
 def _number(text):
