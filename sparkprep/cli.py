@@ -43,7 +43,7 @@ def _parser() -> argparse.ArgumentParser:
 
     for name in ("convert", "convertold"):
         c = command(name, "output")
-        c.add_argument("--compression", default="zstd")
+        c.add_argument("--compression")
         c.add_argument("--flatten", action="store_true")
     for name in ("uniq", "frequency", "select", "flatten"):
         command(name)

@@ -76,19 +76,19 @@ _add("frequency_filter", "events", lambda df: values.frequency(df, "event_type,u
 _add("frequency_double", "orders", lambda df: values.frequency(df, "o_totalprice"), "SELECT CAST(o_totalprice AS VARCHAR) AS o_totalprice, count(*) AS count FROM orders GROUP BY 1")
 
 
-@_query("uniq_nested", 'SELECT DISTINCT role AS "turns.role" FROM conversations')
+@_query("uniq_nested", 'SELECT DISTINCT role AS turns_role FROM conversations')
 def _(spark, d):
-    return values.uniq(turns(spark, d), "turns.role")
+    return values.uniq(turns(spark, d), "turns.role").toDF("turns_role")
 
 
-@_query("frequency_nested", 'SELECT role AS "turns.role", CAST(turn AS VARCHAR) AS "turns.turn", count(*) AS count FROM conversations GROUP BY 1, 2')
+@_query("frequency_nested", 'SELECT role AS turns_role, CAST(turn AS VARCHAR) AS turns_turn, count(*) AS count FROM conversations GROUP BY 1, 2')
 def _(spark, d):
-    return values.frequency(turns(spark, d), "turns.role,turns.turn")
+    return values.frequency(turns(spark, d), "turns.role,turns.turn").toDF("turns_role", "turns_turn", "count")
 
 
-@_query("json_path_frequency", """SELECT json_extract_string(props, '$.k') AS "props.k", count(*) AS count FROM events GROUP BY 1""")
+@_query("json_path_frequency", """SELECT json_extract_string(props, '$.k') AS props_k, count(*) AS count FROM events GROUP BY 1""")
 def _(spark, d):
-    return values.frequency(nested_events(spark, d), "props.k")
+    return values.frequency(nested_events(spark, d), "props.k").toDF("props_k", "count")
 
 
 # Headers and flattening

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import codecs
 import os
-from collections import Counter
 
 FORMATS = {
     "csv": "csv", "tsv": "csv", "jsonl": "jsonl", "ndjson": "jsonl", "json": "json", "bson": "bson", "xml": "xml",
@@ -50,20 +49,19 @@ def head(path: str, limit: int = SNIFF) -> bytes:
 
 
 def encoding_of(data: bytes) -> str:
-    """BOM, then strict UTF-8, then cp1251 where most high bytes are Cyrillic letters there, else latin-1."""
+    """BOM, then strict UTF-8, then cp1251 where high bytes come in runs, else latin-1."""
     for bom, name in ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF32_LE, "utf-32"), (codecs.BOM_UTF32_BE, "utf-32"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16")):
         if data.startswith(bom):
             return name
-    for cut in range(4):
-        try:
-            data[: len(data) - cut].decode("utf-8")
-            return "utf-8"
-        except UnicodeDecodeError as e:
-            if e.start < len(data) - 4:
-                break
-    high = Counter(b for b in data if b >= 0x80)
-    cyrillic = sum(n for b, n in high.items() if b >= 0xC0 or b in (0xA8, 0xB8))
-    return "cp1251" if cyrillic > 0.8 * sum(high.values()) and sum(n for b, n in high.items() if b >= 0xE0) > 0.4 * sum(high.values()) else "latin-1"
+    try:
+        codecs.getincrementaldecoder("utf-8")().decode(data, final=False)  # a character cut off at the end is fine
+        return "utf-8"
+    except UnicodeDecodeError:
+        pass
+    # Cyrillic words are runs of high bytes, accented letters stand alone
+    high = sum(b >= 0xC0 or b in (0xA8, 0xB8) for b in data)
+    paired = sum(a >= 0xC0 and b >= 0xC0 for a, b in zip(data, data[1:]))
+    return "cp1251" if 2 * paired > high else "latin-1"
 
 
 def delimiter_of(line: str) -> str:

@@ -156,4 +156,4 @@ def _open(path: str):
     if path.startswith("file:/") and not path.startswith("file://"):
         path = "file://" + path[5:]
     system, at = fs.FileSystem.from_uri(path)
-    return system.open_input_stream(at, compression=None)
+    return system.open_input_file(at)  # zip needs to seek
