@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -21,3 +24,17 @@ def get_session(app: str = "sparkprep", master: str | None = None, **conf: str)
     for k, v in {**defaults, **conf}.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors' Python workers, once a context, as they may not have it on their path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_sparkprep_shipped", False):
+        return
+    package = Path(__file__).parent
+    at = Path(tempfile.mkdtemp(prefix="sparkprep-")) / "sparkprep.zip"  # the driver serves it, nobody else reads it
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f"{package.name}/{f.relative_to(package)}")
+    sc.addPyFile(str(at))
+    sc._sparkprep_shipped = True
