@@ -6,10 +6,10 @@ from left to right; rounds go on until pairs are rare, the 16-bit symbol space i
 The file stores rules, the expansion length of every rule and each document's offset among the symbols and among the
 ids, so that a document, or a range of its ids, is decoded without expanding anything before it.
 
-Encoding: words repeat, and byte-level BPE never joins across a single space between visible characters, so every such
-chunk is encoded once by the tokenizer and then found in a worker's cache (emptied at ``CACHE`` chunks).
+Encoding: words repeat, and byte-level BPE never joins across a single space or line end between visible characters, so every such
+word is encoded once by the tokenizer and then found in a worker's cache (emptied at ``CACHE`` words).
 
-Documents are range-partitioned and sorted by id; only per-shard totals (path, documents, ids) reach the driver.
+Documents are range-partitioned and sorted by id; only the number of ids per partition reaches the driver.
 The table of shards is materialised before anything reads it: a task that runs again writes files of its own.
 
 Defined results: null text is a document with the end id alone; null ids sort first; rows with the same id are ordered
@@ -18,21 +18,21 @@ by their text's hash; an empty table gives no shards and no rows; other columns
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import NULL_KEY, cut, fresh_dir, id_key, open_fs
 
-CACHE = 500_000
+CACHE = 1_500_000
 _MAGIC = b"RPR1"
-_RAGGED = re.compile(r"[ ](?=\s|$)|\s(?=[ ])|^ ")
+_SPACES = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_WIDE = "".join(chr(c) for c in range(0x80, 0x3001) if chr(c).isspace())
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -44,6 +44,8 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # such strings in a text are ordinary text
+        # every character of a byte-level token stands for one byte
+        self.width = np.array([len(self.tok.id_to_token(k) or "") for k in range(self.tok.get_vocab_size())], np.int64)
         self.cache: dict[str, bytes] = {}
 
     @classmethod
@@ -52,45 +54,78 @@ class Encoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def _fill(self, chunks: list[str]) -> None:
-        for c, e in zip(chunks, self.tok.encode_batch_fast(chunks, add_special_tokens=False)):
-            self.cache[c] = np.array(e.ids, np.uint16).tobytes()
+    def _fill(self, words: list[str]) -> None:
+        """Encode new pieces. Those that tokenise independently of what follows run together, and the ids are cut apart by
+        the byte lengths of their tokens."""
+        cache = self.cache
+        plain, first, alone = [], [], []
+        for w in words:
+            if not w or w[-1].isspace():
+                alone.append(w)
+            elif w[0] == "\n":
+                first.append(w)
+            else:
+                (alone if w[0].isspace() else plain).append(w)
+        for pieces, glue in ((plain, " "), (first, "")):
+            for at in range(0, len(pieces), 4096):
+                part = pieces[at : at + 4096]
+                text = glue + glue.join(part)
+                ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
+                sizes = np.array([len(w.encode()) for w in part]) + len(glue)
+                stop = 2 * (np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(sizes)) + 1)
+                raw = ids.tobytes()
+                cache.update(zip(part, map(raw.__getitem__, map(slice, [0, *stop[:-1].tolist()], stop.tolist()))))
+        for w, e in zip(alone, self.tok.encode_batch_fast([" " + w for w in alone], add_special_tokens=False)):
+            cache[w] = np.array(e.ids, np.uint16).tobytes()
 
     def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [self.chunks(t) if t else [] for t in texts]
-        cache = self.cache
-        new = {c for cs in split for c in cs if c not in cache}
-        if new and len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = {c for cs in split for c in cs}
-        if new:
+        cache, heads, rest = self.cache, [], []
+        for t in texts:
+            head, *ws = self.words(t) if t else [""]
+            heads.append(head)
+            rest.append(ws)
+        first = self.tok.encode_batch_fast(heads, add_special_tokens=False)
+        out: list[np.ndarray | None] = []
+        missing: list[int] = []
+        for k, (h, ws) in enumerate(zip(first, rest)):
+            try:  # one look-up a word; only texts with unknown words are looked at again
+                raw = b"".join(map(cache.__getitem__, ws))
+            except KeyError:
+                missing.append(k)
+                out.append(None)
+                continue
+            out.append(np.frombuffer(np.array(h.ids, np.uint16).tobytes() + raw, np.uint16))
+        if missing:
+            new = {w for k in missing for w in rest[k] if w not in cache}
+            if len(cache) + len(new) > CACHE:
+                cache.clear()
+                new = {w for k in missing for w in rest[k]}
             self._fill(list(new))
-        get = cache.__getitem__
-        return [np.frombuffer(b"".join([get(c) for c in cs]), np.uint16) for cs in split]
+            for k in missing:
+                raw = b"".join(map(cache.__getitem__, rest[k]))
+                out[k] = np.frombuffer(np.array(first[k].ids, np.uint16).tobytes() + raw, np.uint16)
+        return out
 
     @staticmethod
-    def chunks(text: str) -> list[str]:
-        """Pieces that tokenise independently: cut before each single space between two visible characters."""
-        if _RAGGED.search(text):
+    def words(text: str) -> list[str]:
+        """Pieces that tokenise independently: the text is cut at each single space or line end between two visible
+        characters. The first piece stands as it is, others have lost their leading space or begin with their line end."""
+        spaces = _SPACES if text.isascii() else _SPACES + _WIDE
+        near = [s for s in spaces if s in text]
+        if text[0] in near or text[-1] in near or any(s + t in text for s in near for t in near):
             return _ragged(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+        return text.replace("\n", " \n").split(" ")
 
 
 def _ragged(text: str) -> list[str]:
-    """As ``chunks``; a space beside other white space stays inside a chunk."""
-    out, cur = [], ""
-    parts = text.split(" ")
-    for k, x in enumerate(parts):
-        if k == 0:
-            cur = x
-        elif x and cur and not x[0].isspace() and not cur[-1].isspace():
-            out.append(cur)
-            cur = " " + x
+    """As ``words``; a space beside other white space, or at an end, stays inside a piece."""
+    first, *rest = text.split(" ")
+    out = [first]
+    for x in rest:
+        if x and out[-1] and not x[0].isspace() and not out[-1][-1].isspace():
+            out.append(x)
         else:
-            cur += " " + x
-    if cur:
-        out.append(cur)
+            out[-1] += " " + x
     return out
 
 
@@ -115,11 +150,15 @@ def repair(seq: np.ndarray, ends: np.ndarray, base: int, rounds: int, per_round:
         take = min(per_round, room - n_rules, len(often))
         top = often[np.argpartition(-count[often], take - 1)[:take]]
         keys = np.sort(ordered[at[top]])
-        bloom = np.zeros(1 << 20, bool)
-        bloom[(keys * np.uint32(0x9E3779B1)) >> np.uint32(12)] = True
-        hit = np.flatnonzero(bloom[(pair * np.uint32(0x9E3779B1)) >> np.uint32(12)] & ~last[:-1])
-        which = np.searchsorted(keys, pair[hit])
-        which[which == len(keys)] = 0
+        # a table with one pair a slot; of the few that share a slot, one waits for a later round
+        slots = np.full(1 << 20, -1, np.int32)
+        slots[(keys * np.uint32(0x9E3779B1)) >> np.uint32(12)] = np.arange(len(keys), dtype=np.int32)
+        keys = keys[np.sort(slots[slots >= 0])]
+        take = len(keys)
+        slots[(keys * np.uint32(0x9E3779B1)) >> np.uint32(12)] = np.arange(take, dtype=np.int32)
+        which = slots[(pair * np.uint32(0x9E3779B1)) >> np.uint32(12)]
+        hit = np.flatnonzero((which >= 0) & ~last[:-1])
+        which = which[hit]
         true = keys[which] == pair[hit]
         hit, which = hit[true], which[true]
         # in a run of overlapping hits every second one is replaced, from the left
@@ -138,18 +177,26 @@ def repair(seq: np.ndarray, ends: np.ndarray, base: int, rounds: int, per_round:
     return seq, np.flatnonzero(last) + 1, table
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    s = symbols.astype(np.uint16)
-    while True:
-        big = s >= base
-        if not len(rules) or not big.any():
-            return s
-        times = np.where(big, 2, 1)
-        at = np.cumsum(times) - times
-        out = np.repeat(s, times)
-        pairs = rules[s[big] - np.uint16(base)]
-        out[at[big]], out[at[big] + 1] = pairs[:, 0], pairs[:, 1]
-        s = out
+def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """All symbols' expansions end to end, and where each one's starts (and the last one's ends)."""
+    out: list[bytes] = []
+    for a, b in rules.tolist():  # a rule's symbols are terminals or earlier rules
+        out.append((out[a - base] if a >= base else a.to_bytes(2, "little")) + (out[b - base] if b >= base else b.to_bytes(2, "little")))
+    flat = np.concatenate([np.arange(base, dtype=np.uint16), np.frombuffer(b"".join(out), "<u2")])
+    size = np.ones(base + len(rules), np.int64)
+    size[base:] = [len(x) // 2 for x in out]
+    return flat, np.concatenate(([0], np.cumsum(size)))
+
+
+def expand(symbols: np.ndarray, rules: np.ndarray, base: int, table: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    if not len(rules) or not len(symbols):
+        return symbols.astype(np.uint16)
+    flat, start = expansions(rules, base) if table is None else table
+    size = (start[1:] - start[:-1])[symbols]
+    stop = np.cumsum(size)
+    at = np.repeat((start[symbols] - stop + size).astype(np.int32), size)
+    at += np.arange(len(at), dtype=np.int32)
+    return flat[at]
 
 
 def pack_shard(ids: list[np.ndarray], docs: list[int | None], base: int, rounds=5, per_round=2048, least=8) -> bytes:
@@ -185,9 +232,10 @@ class Shard:
         self.docs, self.at_symbol, self.at_id = take("<i8", self.n), take("<u8", self.n + 1), take("<u8", self.n + 1)
         self.rules, self.length = take("<u2", 2 * n_rules).reshape(-1, 2), take("<u4", n_rules)
         self.symbols = take("<u2", n_symbols)
+        self.table = expansions(self.rules, self.base)
 
     def document(self, k: int) -> np.ndarray:
-        return expand(self.symbols[int(self.at_symbol[k]) : int(self.at_symbol[k + 1])], self.rules, self.base)
+        return expand(self.symbols[int(self.at_symbol[k]) : int(self.at_symbol[k + 1])], self.rules, self.base, self.table)
 
     def window(self, k: int, start: int, stop: int) -> np.ndarray:
         """ids [start, stop) of document k: expansion lengths skip the symbols before it."""
@@ -197,7 +245,7 @@ class Shard:
         end = np.cumsum(size)
         a, b = int(np.searchsorted(end, start, "right")), int(np.searchsorted(end, stop, "left")) + 1
         before = int(end[a - 1]) if a else 0
-        return expand(s[a:b], self.rules, self.base)[start - before : stop - before]
+        return expand(s[a:b], self.rules, self.base, self.table)[start - before : stop - before]
 
 
 def default_tokenizer() -> str:
@@ -254,10 +302,15 @@ def write_token_shards(docs: DataFrame, folder: str | None = None, id_col="doc_i
 def read_token_shards(shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files. start: ids of all documents before it."""
     spark = shards.sparkSession
-    table = shards.orderBy("part", "seq").toPandas()  # one row a shard of some million ids
-    table["start"] = table["n_ids"].cumsum() - table["n_ids"]
-    n = max(1, len(table))
-    at = spark.createDataFrame(table[["path", "start"]], "path string, start long").repartition(n, "path")
+    n = max(1, shards.count())
+    starts, total = [], 0
+    for r in shards.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").toLocalIterator():  # a row a partition
+        starts.append((r.part, total))
+        total += r.n
+    before = spark.createDataFrame(starts, "p long, before long")
+    within = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")
+    at = shards.withColumn("within", within).join(before, F.col("part") == F.col("p"))
+    at = at.select("path", (F.col("before") + F.col("within")).alias("start")).repartition(n, "path")
 
     def read(batches):
         for batch in batches:
@@ -265,7 +318,7 @@ def read_token_shards(shards: DataFrame) -> DataFrame:
                 fs, p = open_fs(path)
                 with fs.open_input_stream(p) as f:
                     shard = Shard(f.read())
-                ids = expand(shard.symbols, shard.rules, shard.base).astype("<u4")
+                ids = expand(shard.symbols, shard.rules, shard.base, shard.table).astype("<u4")
                 where = shard.at_id.astype(np.int64)
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(where[:-1].tolist(), where[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
