@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut
+from ._common import apart, cut
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -20,10 +20,10 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     while True:
         # large star: larger neighbours of each node go to its smallest neighbour
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(apart(F.col("u")).alias("k"), F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: smaller neighbours and the node itself go to the smallest
-        root = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
+        root = large.groupBy("u").agg(F.min("v").alias("m")).select(apart(F.col("u")).alias("k"), "m")
         small = large.join(root, F.col("u") == F.col("k")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
         e = cut(small.filter("u <> v").distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

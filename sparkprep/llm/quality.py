@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ._common import as_bytes, fresh, hashes, id_key, rolling
+from ._common import apart, as_bytes, fresh, hashes, id_key, rolling
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _SYMBOLS = b"#*$%&|<>"
@@ -75,7 +75,7 @@ def frequent_lines(docs: DataFrame, text_col="text", host_col="source", min_docs
     n_lines = exploded.groupBy("host", "h1", "h2", "t").agg(F.lit(1).alias("one")).groupBy("host", "h1", "h2").agg(F.count("*").alias("n_docs"))
     hosts = docs.select(host.alias("hh")).groupBy("hh").agg(F.count("*").alias("host_docs"))
     limit = F.greatest(F.lit(float(min_docs)), F.lit(float(max_share)) * F.col("host_docs"))
-    return n_lines.filter(F.col("n_docs") > min_docs).join(hosts, F.col("host").eqNullSafe(F.col("hh"))).filter(F.col("n_docs") > limit).select("host", "h1", "h2", "n_docs")
+    return n_lines.filter(F.col("n_docs") > min_docs).join(hosts, F.col("host").eqNullSafe(F.col("hh"))).filter(F.col("n_docs") > limit).select("host", apart(F.col("h1")).alias("h1"), apart(F.col("h2")).alias("h2"), "n_docs")
 
 
 def quality_rules(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source", min_docs=10, max_share=0.01, min_words=10, min_left=0.3) -> DataFrame:

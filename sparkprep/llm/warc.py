@@ -112,7 +112,9 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col="page_id"
     folder = folder or fresh_dir(pages.sparkSession, "warc")
     payload = F.coalesce(F.encode(F.col(f"`{html_col}`"), "utf-8"), F.lit(b""))
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("p"), F.col(f"`{url_col}`").alias("u"), payload.alias("b")).withColumn("d", F.sha1("b"))
-    owners = rows.filter(F.octet_length("b") >= min_bytes).groupBy("d").agg(F.max("p").alias("o"), F.count("*").alias("n")).filter("n > 1").select(F.col("d").alias("od"), "o")
+    owners = rows.filter(F.octet_length("b") >= min_bytes).groupBy("d").agg(F.max("p").alias("o"), F.count("*").alias("n")).filter("n > 1")
+    # reversed twice, the planner shuffles the owners again, and may then split a very common payload's rows
+    owners = owners.select(F.reverse(F.reverse("d")).alias("od"), "o")
     joined = rows.join(owners, F.col("d") == F.col("od"), "left")
     refers = F.when(F.col("o").isNotNull() & (F.col("p").isNull() | (F.col("p") < F.col("o"))), F.col("o"))
     joined = joined.select("p", "u", "b", refers.alias("r"))
