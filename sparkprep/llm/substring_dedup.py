@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ._common import as_bytes, cut, fresh, hashes, id_key, rolling, sliding_min
+from ._common import apart, as_bytes, cut, fresh, hashes, id_key, rolling, sliding_min, stage
 
 ANCHOR = 8  # words of an anchor piece
 
@@ -185,11 +185,11 @@ def _regions(window: int):
     return cut_out
 
 
-_VERDICT = "d long, start int, h1 long, h2 long"
+_VERDICT = "d long, starts array<int>, h1 long, h2 long"
 
 
 def _match(window: int):
-    """Windows of followers: found in the owner's automaton (h1, h2 null), or left over with their hashes."""
+    """Windows of followers: all found in the owner's automaton (h1, h2 null), and each one left over with its hashes."""
 
     def match(batches):
         owner, automaton = None, None
@@ -206,16 +206,19 @@ def _match(window: int):
                         continue
                     there = np.array(automaton.statistics(words))[mine + window - 1] >= window
                     found, rest = mine[there], mine[~there]
-                    out_d += [d] * len(mine)
-                    out_s += (found + x).tolist() + (rest + x).tolist()
-                    out_1 += [None] * len(found)
-                    out_2 += [None] * len(found)
+                    if len(found):
+                        out_d.append(d)
+                        out_s.append((found + x).astype(np.int32))
+                        out_1.append(None)
+                        out_2.append(None)
                     if len(rest):
                         h = hashes(words)
+                        out_d += [d] * len(rest)
+                        out_s += [[k] for k in (rest + x).tolist()]
                         out_1 += rolling(h, window)[rest].view(np.int64).tolist()
                         out_2 += rolling(h, window, 0xD6E8FEB86659FD93)[rest].view(np.int64).tolist()
             if out_d:
-                yield pa.RecordBatch.from_arrays([pa.array(out_d, pa.int64()), pa.array(out_s, pa.int32()), pa.array(out_1, pa.int64()), pa.array(out_2, pa.int64())], ["d", "start", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([pa.array(out_d, pa.int64()), pa.array(out_s, pa.list_(pa.int32())), pa.array(out_1, pa.int64()), pa.array(out_2, pa.int64())], ["d", "starts", "h1", "h2"])
 
     return match
 
@@ -240,14 +243,14 @@ def repeated_starts(docs: DataFrame, id_col="doc_id", text_col="text", window=20
     shared = shared.select("d", F.col("x.a").alias("a"), F.col("x.o").alias("o"))
     keyed = docs.select(id_key(id_col).alias("k"), text.alias("t"))
     regions = keyed.join(shared, F.col("k") == F.col("d")).select("k", "t", "a", "o").mapInArrow(_regions(window), _REGION)
-    regions = cut(regions)
+    regions = stage(regions)
     shards = regions.filter("own").select(F.col("o").alias("so"), F.col("t").alias("shard"))
     followers = regions.filter("not own").select("o", "d", "w", "t", "starts")
     verdicts = followers.join(shards, F.col("o") == F.col("so")).drop("so").mapInArrow(_match(window), _VERDICT)
-    verdicts = cut(verdicts.groupBy("d", "h1", "h2").agg(F.array_sort(F.collect_set("start")).alias("starts")))
+    verdicts = cut(verdicts)
     found = verdicts.filter("h1 is null").select("d", "starts")
     left = verdicts.filter("h1 is not null")
-    first = left.groupBy("h1", "h2").agg(F.min("d").alias("f"), F.max("d").alias("z")).filter("f <> z").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "f")
+    first = left.groupBy("h1", "h2").agg(F.min("d").alias("f"), F.max("d").alias("z")).filter("f <> z").select(apart(F.col("h1")).alias("g1"), apart(F.col("h2")).alias("g2"), "f")
     later = left.join(first, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).filter("d > f").select("d", "starts")
     return found.union(later).groupBy("d").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
@@ -283,6 +286,21 @@ def dedup_corpus(docs: DataFrame, id_col="doc_id", text_col="text", window=20, o
     return joined.withColumn(out, _remove(window)(F.col(f"`{text_col}`"), F.col(starts))).drop(key, d, starts)
 
 
+def _shard_starts(shard, window: int):
+    """Starts of the windows that the shard's automaton holds; the automaton is built once a worker."""
+
+    def match(text: pa.Array) -> pa.Array:
+        if not hasattr(shard, "automaton"):
+            shard.automaton = build([x.split() for x in shard.value])
+        got = []
+        for t in as_bytes(text):
+            stat = np.array(shard.automaton.statistics(t.split() if t else []), np.int64)
+            got.append(np.flatnonzero(stat >= window) - window + 1)
+        return pa.array(got, pa.list_(pa.int32()))
+
+    return arrow_udf(match, "array<int>").asNondeterministic()
+
+
 def remove_spans(docs: DataFrame, reference: DataFrame, text_col="text", reference_text="text", window=20, out="dedup", shard_bytes=2 << 20) -> DataFrame:
     """``docs`` with ``out`` as in ``dedup_corpus``: spans of at least ``window`` words that the reference holds are removed.
 
@@ -299,16 +317,7 @@ def remove_spans(docs: DataFrame, reference: DataFrame, text_col="text", referen
         texts = [r.t.encode() for r in ref.filter(F.pmod(F.xxhash64("t"), F.lit(n)) == b).toLocalIterator()]
         shard = spark.sparkContext.broadcast(texts)
 
-        def match(text: pa.Array, shard=shard) -> pa.Array:
-            if not hasattr(shard, "automaton"):
-                shard.automaton = build([x.split() for x in shard.value])
-            got = []
-            for t in as_bytes(text):
-                stat = np.array(shard.automaton.statistics(t.split() if t else []), np.int64)
-                got.append(np.flatnonzero(stat >= window) - window + 1)
-            return pa.array(got, pa.list_(pa.int32()))
-
-        starts = F.concat(starts, arrow_udf(match, "array<int>").asNondeterministic()(F.col(f"`{text_col}`")))
+        starts = F.concat(starts, _shard_starts(shard, window)(F.col(f"`{text_col}`")))
 
     def remove(text: pa.Array, at: pa.Array) -> pa.Array:
         rows = []
