@@ -34,16 +34,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows that repeat an id and text count as one group too. Rows without an id stay, unless they are linked to one with an id.
     """
-    similar = cut(similar_documents(docs))
-    gone = similar.filter("component_id is not null and (doc_id is null or doc_id <> component_id)")
-    twice = similar.groupBy(F.coalesce("doc_id", F.lit(NULL_KEY)).alias("g")).agg(F.count("*").alias("n")).filter(f"n > 1 and g <> {NULL_KEY}")
-    (key,) = fresh(docs, "__k")
-    keyed = docs.withColumn(key, id_key("doc_id"))
-    lost = gone.select(id_key("doc_id").alias("__g")).filter(f"__g <> {NULL_KEY}").distinct()
-    kept = keyed.join(lost, F.col(key) == F.col("__g"), "left_anti")
-    again = twice.select("g")
-    once = kept.join(again, F.col(key) == F.col("g"), "left_anti")
-    more = kept.join(again, F.col(key) == F.col("g"), "left_semi").dropDuplicates([key])
+    similar = similar_documents(docs)
+    lost = F.col("component_id").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") != F.col("component_id")))
+    key, g, gone, rows = fresh(docs, "__k", "__g", "__gone", "__rows")
+    flags = similar.groupBy(id_key("doc_id").alias(g)).agg(F.max(lost).alias(gone), F.count("*").alias(rows))
+    flags = cut(flags.filter((F.col(gone) | (F.col(rows) > 1)) & (F.col(g) != NULL_KEY)))
+    kept = docs.withColumn(key, id_key("doc_id")).join(flags, F.col(key) == F.col(g), "left").filter(~F.coalesce(F.col(gone), F.lit(False)))
+    once = kept.filter(F.col(rows).isNull() | (F.col(rows) == 1))
+    more = kept.filter(F.col(rows) > 1).dropDuplicates([key])
     return once.union(more).select(*docs.columns)
 
 
