@@ -131,50 +131,53 @@ def _ragged(text: str) -> list[str]:
 
 def repair(seq: np.ndarray, ends: np.ndarray, base: int, rounds: int, per_round: int, least: int):
     """Symbols, ends of documents among them, and rules (pairs). ``ends``: one past each document's last id."""
+    none, mult, shift = np.uint32(0xFFFFFFFF), np.uint32(0x9E3779B1), np.uint32(12)
     rules: list[np.ndarray] = []
-    n_rules, room = 0, 65536 - base
-    last = np.zeros(len(seq), bool)
-    last[ends - 1] = True
+    n_rules, room = 0, 65535 - base
+    seq = seq.copy()
     for _ in range(rounds):
         if len(seq) < 2 or n_rules >= room:
             break
-        pair = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
-        ordered = np.sort(pair[~last[:-1]])
-        if not len(ordered):
-            break
-        at = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        pair = seq[:-1].astype(np.uint32)
+        pair <<= np.uint32(16)
+        pair |= seq[1:]
+        pair[ends[:-1] - 1] = none  # no pair crosses a document's end
+        ordered = np.sort(pair)
+        at = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1))
         count = np.diff(np.concatenate((at, [len(ordered)])))
         often = np.flatnonzero(count >= least)
+        often = often[ordered[at[often]] != none]
         if not len(often):
             break
-        take = min(per_round, room - n_rules, len(often))
+        take = min(per_round, 32767, room - n_rules, len(often))
         top = often[np.argpartition(-count[often], take - 1)[:take]]
         keys = np.sort(ordered[at[top]])
         # a table with one pair a slot; of the few that share a slot, one waits for a later round
-        slots = np.full(1 << 20, -1, np.int32)
-        slots[(keys * np.uint32(0x9E3779B1)) >> np.uint32(12)] = np.arange(len(keys), dtype=np.int32)
+        slots = np.full(1 << 20, -1, np.int16)
+        slots[(keys * mult) >> shift] = np.arange(len(keys), dtype=np.int16)
         keys = keys[np.sort(slots[slots >= 0])]
         take = len(keys)
-        slots[(keys * np.uint32(0x9E3779B1)) >> np.uint32(12)] = np.arange(take, dtype=np.int32)
-        which = slots[(pair * np.uint32(0x9E3779B1)) >> np.uint32(12)]
-        hit = np.flatnonzero((which >= 0) & ~last[:-1])
+        slots[(keys * mult) >> shift] = np.arange(take, dtype=np.int16)
+        slot = pair * mult
+        slot >>= shift
+        which = slots[slot]
+        hit = np.flatnonzero(which >= 0)
         which = which[hit]
         true = keys[which] == pair[hit]
         hit, which = hit[true], which[true]
         # in a run of overlapping hits every second one is replaced, from the left
+        number = np.arange(len(hit))
         start = np.concatenate(([True], np.diff(hit) != 1))
-        run = np.arange(len(hit)) - np.maximum.accumulate(np.where(start, np.arange(len(hit)), 0))
-        hit, which = hit[run % 2 == 0], which[run % 2 == 0]
-        seq = seq.copy()
-        seq[hit] = (base + n_rules + which).astype(np.uint16)
+        odd = (number - np.maximum.accumulate(np.where(start, number, 0))) & 1
+        hit, which = hit[odd == 0], which[odd == 0]
+        seq[hit] = base + n_rules + which.astype(np.int32)
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
-        last[hit] = last[hit + 1]
-        seq, last = seq[keep], last[keep]
+        ends = ends - np.searchsorted(hit + 1, ends)
+        seq = seq[keep]
         rules.append(np.stack([keys >> np.uint32(16), keys & np.uint32(0xFFFF)], axis=1).astype(np.uint16))
         n_rules += take
-    table = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint16)
-    return seq, np.flatnonzero(last) + 1, table
+    return seq, ends, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint16)
 
 
 def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
