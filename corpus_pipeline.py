@@ -40,6 +40,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     flags = similar.groupBy(id_key("doc_id").alias(g)).agg(F.max(lost).alias(gone), F.count("*").alias(rows))
     flags = cut(flags.filter((F.col(gone) | (F.col(rows) > 1)) & (F.col(g) != NULL_KEY)))
     kept = docs.withColumn(key, id_key("doc_id")).join(flags, F.col(key) == F.col(g), "left").filter(~F.coalesce(F.col(gone), F.lit(False)))
+    if flags.filter(F.col(rows) > 1).isEmpty():  # no id is there twice, so the texts needn't move again
+        return kept.select(*docs.columns)
     once = kept.filter(F.col(rows).isNull() | (F.col(rows) == 1))
     more = kept.filter(F.col(rows) > 1).dropDuplicates([key])
     return once.union(more).select(*docs.columns)
