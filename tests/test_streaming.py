@@ -18,7 +18,7 @@ def source(spark, tmp_path):
 
 def run(spark, stream, name, mode="append"):
     stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return sorted(tuple(r) for r in spark.table(name).collect())
+    return sorted((tuple(r) for r in spark.table(name).collect()), key=repr)
 
 
 def test_stateless(spark, source):
