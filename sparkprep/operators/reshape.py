@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import copy
 import json
 import os
 import runpy
@@ -17,12 +16,10 @@ from ..functions.pystr import py_str, safe_file_name
 from ..plans.filterlang import apply_filter
 from ..plans.paths import leaves, melt, quoted, values
 from ..sources.readers import read
-from ..sources.records import infer, row
+from ..sources.records import merged, row, type_of, union
 from ..sources.writers import flat_texts, write
 from .select import field_list, project
 
-SAMPLE = 1000
-
 
 def flatten(df: DataFrame, filter: str | None = None) -> DataFrame:  # noqa: A002
     """(key, value): one row per leaf value of each record, null values as null."""
@@ -82,14 +79,20 @@ def load_script(path: str) -> Callable[[dict], dict]:
 def apply(df: DataFrame, process: Callable[[dict], dict], schema: str | T.StructType | None = None, filter: str | None = None, fields: str | list[str] | None = None) -> DataFrame:  # noqa: A002
     """Each record through a Python function that may add, rename or drop keys; None drops the record.
 
-    Without a schema, the function is run on copies of the first records (1000 at most) to learn the output's.
+    Without a schema, a first pass runs the function on all records to learn the output's.
     """
     df = apply_filter(df, filter)
     if fields:
         df = project(df, field_list(fields))
     if schema is None:
-        probe = [process(copy.deepcopy(_plain(r))) for r in df.limit(SAMPLE).collect()]
-        schema = infer(r for r in probe if r is not None)
+        def kinds(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            found = union(type_of(p) for batch in batches for r in batch.to_pylist() if (p := process(r)) is not None)
+            yield pa.RecordBatch.from_pylist([{"kind": found.json()}])
+
+        parts = df.mapInArrow(kinds, "kind string").select(F.spark_partition_id().alias("part"), "kind")
+        schema = merged(r.kind for r in sorted(parts.collect()))
     elif isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
 

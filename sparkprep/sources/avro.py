@@ -10,6 +10,10 @@ import zlib
 from collections.abc import Iterable, Iterator
 from typing import BinaryIO
 
+from pyspark.sql import types as T
+
+from .records import merge
+
 MAGIC = b"Obj\x01"
 
 
@@ -99,13 +103,55 @@ def _inflate(raw: bytes, codec: str) -> bytes:
     raise ValueError(f"avro codec {codec}")
 
 
-def records(f: BinaryIO) -> Iterator[dict]:
+def _meta(f: BinaryIO) -> dict[str, bytes]:
     if f.read(4) != MAGIC:
         raise ValueError("not an Avro container")
     meta = {}
     for _ in _blocks(f):
         key = _bytes(f).decode()
         meta[key] = _bytes(f)
+    return meta
+
+
+_KINDS = {"null": T.NullType(), "boolean": T.BooleanType(), "int": T.LongType(), "long": T.LongType(), "float": T.DoubleType(), "double": T.DoubleType(), "bytes": T.BinaryType(), "string": T.StringType()}
+
+
+def _kind(kind, named: dict) -> T.DataType | None:
+    """Spark's type of a schema; None where only the data tell it (maps, records within themselves)."""
+    if isinstance(kind, list):
+        out: T.DataType = T.NullType()
+        for x in kind:
+            one = _kind(x, named)
+            if one is None:
+                return None
+            out = merge(out, one)
+        return out
+    if isinstance(kind, dict):
+        t = kind["type"]
+        if t in ("record", "error"):
+            named[kind["name"]] = None
+            fields = [(x["name"], _kind(x["type"], named)) for x in kind["fields"]]
+            named[kind["name"]] = out = None if any(k is None for _, k in fields) else T.StructType([T.StructField(n, k) for n, k in fields])
+            return out
+        if t in ("enum", "fixed"):
+            named[kind["name"]] = T.StringType() if t == "enum" else T.BinaryType()
+            return named[kind["name"]]
+        if t == "array":
+            of = _kind(kind["items"], named)
+            return None if of is None else T.ArrayType(of)
+        return None if t == "map" else _kind(t, named)
+    if kind in _KINDS:
+        return _KINDS[kind]
+    return named[kind] if kind in named else named.get(kind.rpartition(".")[2])
+
+
+def schema_type(f: BinaryIO) -> T.StructType | None:
+    """The records' type as the file's own schema has it; None where only the data tell it."""
+    return _kind(json.loads(_meta(f)["avro.schema"]), {})
+
+
+def records(f: BinaryIO) -> Iterator[dict]:
+    meta = _meta(f)
     sync = f.read(16)
     schema, codec = json.loads(meta["avro.schema"]), meta.get("avro.codec", b"null").decode()
     while True:

@@ -1,7 +1,8 @@
 """One entry point for all formats: ``read(spark, path, ...)`` gives a lazy DataFrame.
 
 CSV, JSON, XML, Parquet and ORC are Spark's own sources. BSON, Avro, XLSX, DOCX and text behind zip, xz or zstd are read
-file by file inside tasks; their schema comes from a bounded sample of the first file's records.
+file by file inside tasks. Without a given schema a first pass, in tasks too, merges the types of all records of all files;
+Avro files say their own.
 """
 
 from __future__ import annotations
@@ -18,9 +19,8 @@ from pyspark.sql import types as T
 from . import avro, bson, office
 from .archives import UnsupportedCodec, decompressed
 from .detect import codec_of, format_of, sniff
-from .records import infer, row
+from .records import merged, row, type_of, union
 
-SAMPLE = 1000
 _NATIVE_CODECS = {None, "gzip", "bzip2", "deflate", "lz4", "snappy"}
 
 
@@ -106,7 +106,7 @@ def _records(stream, fmt, delimiter, encoding, tag, page, start_line, fields):
         return (dict(zip(frame.columns.map(str), [None if v != v else v for v in r])) for r in frame.itertuples(index=False, name=None))
     text = io.TextIOWrapper(stream, encoding=encoding or "utf-8", newline="" if fmt == "csv" else None)
     if fmt == "csv":
-        return itertools.islice(csv.DictReader(text, fieldnames=fields, delimiter=delimiter or ","), start_line, None)
+        return itertools.islice(csv.DictReader(text, fieldnames=fields, restkey="null", delimiter=delimiter or ","), start_line, None)
     if fmt == "jsonl":
         return (json.loads(x) for x in text if x.strip())
     if fmt == "json":
@@ -121,10 +121,25 @@ def _read_files(spark, paths, fmt, codec, delimiter, encoding, tag, page, start_
     if fmt == "csv" and delimiter is None:
         encoding, delimiter = (encoding or sniff(paths[0])[0], sniff(paths[0])[1])
     opts = (fmt, delimiter, encoding, tag, page, start_line, fields)
+    names = files.select("path")
+    names = names.repartitionByRange(max(1, min(names.count(), 4 * spark.sparkContext.defaultParallelism)), "path")
+
+    def kinds(batches):
+        import pandas as pd
+
+        found = []
+        for path in sorted(p for pdf in batches for p in pdf["path"]):
+            with _open(path) as raw:
+                kind = avro.schema_type(decompressed(raw, codec)) if fmt == "avro" else None
+            if kind is None:
+                with _open(path) as raw:
+                    kind = union(map(type_of, _records(decompressed(raw, codec), *opts)))
+            found.append(kind)
+        if found:
+            yield pd.DataFrame({"path": [path], "kind": [union(found).json()]})
+
     if schema is None:
-        one = files.select("content").first()
-        found = infer(itertools.islice(_records(decompressed(io.BytesIO(one.content), codec), *opts), SAMPLE)) if one else T.StructType([])
-        schema = found
+        schema = merged(r.kind for r in sorted(names.mapInPandas(kinds, "path string, kind string").collect()))
     elif isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
 
@@ -140,8 +155,7 @@ def _read_files(spark, paths, fmt, codec, delimiter, encoding, tag, page, start_
 
     if not schema.fields:
         return spark.createDataFrame([], schema)
-    names = files.select("path").drop("content")
-    return names.repartition(F.col("path")).mapInPandas(stream, schema)
+    return names.mapInPandas(stream, schema)
 
 
 def _plain(v, kind: T.DataType):

@@ -44,8 +44,10 @@ def merge(a: T.DataType, b: T.DataType) -> T.DataType:
     if isinstance(a, T.NullType):
         return b
     if isinstance(a, T.StructType) and isinstance(b, T.StructType):
-        names = list(dict.fromkeys([*a.names, *b.names]))
-        return T.StructType([T.StructField(n, merge(a[n].dataType if n in a.names else T.NullType(), b[n].dataType if n in b.names else T.NullType())) for n in names])
+        kinds = {f.name: f.dataType for f in a.fields}
+        for f in b.fields:
+            kinds[f.name] = merge(kinds.get(f.name, T.NullType()), f.dataType)
+        return T.StructType([T.StructField(n, k) for n, k in kinds.items()])
     if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
         return T.ArrayType(merge(a.elementType, b.elementType))
     if {type(a), type(b)} == {T.LongType, T.DoubleType}:
@@ -62,12 +64,17 @@ def settle(kind: T.DataType) -> T.DataType:
     return T.ArrayType(settle(kind.elementType)) if isinstance(kind, T.ArrayType) else kind
 
 
-def infer(records: Iterable[dict]) -> T.StructType:
-    """Union of the records' keys in first-seen order."""
-    kind: T.DataType = T.StructType([])
-    for r in records:
-        kind = merge(kind, type_of(r))
-    return settle(kind)
+def union(kinds: Iterable[T.DataType]) -> T.DataType:
+    """Union of the records' keys in first-seen order; types that were only null so far stay void."""
+    out: T.DataType = T.StructType([])
+    for kind in kinds:
+        out = merge(out, kind)
+    return out
+
+
+def merged(parts: Iterable[str]) -> T.StructType:
+    """The schema of all records from the schemas (JSON) of parts of them."""
+    return settle(union(T.StructType.fromJson(json.loads(x)) for x in parts))
 
 
 def as_text(v) -> str:
@@ -79,19 +86,21 @@ def as_text(v) -> str:
 
 
 def fit(v, kind: T.DataType):
-    """The value in the form that Spark takes for this type; what doesn't fit becomes null."""
+    """The value in the form that Spark takes for this type; what doesn't fit is an error."""
     if v is None:
         return None
     if isinstance(kind, T.StringType):
         return as_text(v)
-    if isinstance(kind, T.StructType):
-        return tuple(fit(v.get(f.name), f.dataType) for f in kind.fields) if isinstance(v, dict) else None
-    if isinstance(kind, T.ArrayType):
-        return [fit(x, kind.elementType) for x in v] if isinstance(v, (list, tuple)) else None
-    if isinstance(kind, T.DoubleType):
-        return float(v) if isinstance(v, (int, float)) else None
-    if isinstance(kind, T.LongType):
-        return int(v) if isinstance(v, int) and -(2**63) <= v < 2**63 else None
+    if isinstance(kind, T.StructType) and isinstance(v, dict):
+        return tuple(fit(v.get(f.name), f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType) and isinstance(v, (list, tuple)):
+        return [fit(x, kind.elementType) for x in v]
+    if isinstance(kind, T.DoubleType) and isinstance(v, (int, float)):
+        return float(v)
+    if isinstance(kind, T.LongType) and isinstance(v, int) and -(2**63) <= v < 2**63:
+        return int(v)
+    if isinstance(kind, (T.StructType, T.ArrayType, T.DoubleType, T.LongType)) or isinstance(kind, T.BooleanType) and not isinstance(v, bool):
+        raise ValueError(f"{as_text(v)[:100]!r} doesn't fit {kind.simpleString()[:100]}")
     return v
 
 

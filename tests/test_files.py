@@ -179,3 +179,35 @@ def test_command_line(spark, tmp_path, capsys):
     main(["query", path, "--query", "kind"])
     main(["validate", path, "-f", "id", "--rule", "ru.org.inn", "--mode", "stats"])
     assert '"num_records": 3' in capsys.readouterr().out
+
+
+def test_schema_of_all_records_of_all_files(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    many = [{"n": k} for k in range(1500)] + [{"n": 1.5, "late": "x", "deep": {"a": 1}}]
+    (tmp_path / "d" / "a.bson").write_bytes(b"".join(map(bson.encode, many)))
+    (tmp_path / "d" / "b.bson").write_bytes(bson.encode({"n": 7, "other": True, "deep": {"b": [2]}}))
+    got = read(spark, str(tmp_path / "d"), "bson")
+    assert got.columns == ["n", "late", "deep", "other"] and got.count() == 1502
+    assert sorted(r.n for r in got.collect()) == sorted([*map(float, range(1500)), 1.5, 7.0])
+    assert [r.asDict(True) for r in got.filter("deep is not null").orderBy("n").collect()] == [{"n": 1.5, "late": "x", "deep": {"a": 1, "b": None}, "other": None}, {"n": 7.0, "late": None, "deep": {"a": None, "b": [2]}, "other": True}]
+    with pytest.raises(Exception, match="doesn't fit bigint"):
+        read(spark, str(tmp_path / "d"), "bson", schema="n long").collect()
+
+
+def test_avro_says_its_schema(spark, tmp_path):
+    def container(fields, raw):
+        kind = json.dumps({"type": "record", "name": "R", "fields": fields}).encode()
+        sync = bytes(16)
+        return avro.MAGIC + avro._put_long(1) + avro._put(b"avro.schema") + avro._put(kind) + b"\x00" + sync + avro._put_long(1) + avro._put(raw) + sync
+
+    (tmp_path / "a.avro").write_bytes(container([{"name": "n", "type": ["null", "long"]}, {"name": "e", "type": {"type": "enum", "name": "E", "symbols": ["x", "y"]}}, {"name": "f", "type": "E"}], b"\x00\x02\x00"))
+    (tmp_path / "b.avro").write_bytes(container([{"name": "n", "type": "double"}, {"name": "m", "type": {"type": "map", "values": "int"}}], bytes(8) + b"\x02" + avro._put(b"k") + b"\x0a\x00"))
+    assert read(spark, str(tmp_path / "a.avro")).dtypes == [("n", "bigint"), ("e", "string"), ("f", "string")]
+    both = read(spark, str(tmp_path / "*.avro"), "avro")
+    assert both.dtypes == [("n", "double"), ("e", "string"), ("f", "string"), ("m", "struct<k:bigint>")]
+    assert sorted(map(tuple, both.collect()), key=repr) == [(0.0, None, None, (5,)), (None, "y", "x", None)]
+
+
+def test_apply_learns_from_all_rows(spark):
+    got = reshape.apply(spark.range(3000).coalesce(1), lambda r: {"id": r["id"]} if r["id"] < 2000 else {"id": r["id"] + 0.5, "late": [r["id"]]})
+    assert got.dtypes == [("id", "double"), ("late", "array<bigint>")] and got.filter("late[0] = id - 0.5").count() == 1000
