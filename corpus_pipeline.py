@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkprep.llm._common import NULL_KEY, cut, fresh, fresh_dir, id_key
+from sparkprep.llm._common import cut, fresh, fresh_dir, id_key
 from sparkprep.llm.decontaminate import find_benchmark
-from sparkprep.llm.jaccard import similar_documents
+from sparkprep.llm.jaccard import similar_rows
 from sparkprep.llm.langid import learn, predict
 from sparkprep.llm.packing import pack_documents
 from sparkprep.llm.substring_dedup import dedup_corpus
@@ -30,21 +30,24 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by Jaccard >= 0.9 over 5-word shingles, that with the smallest id stays.
+    """Of each group of rows linked by Jaccard >= 0.9 over 5-word shingles, that with the smallest id stays.
 
-    Rows that repeat an id and text count as one group too. Rows without an id stay, unless they are linked to one with an id.
+    Decided by row, known by id and text hash: of a group's rows with its smallest id, or of those without an id where none has
+    one, the text with the smallest hash stays. Rows that repeat an id and text count as one group too. Texts without a word
+    link with nothing, so all such rows without an id stay.
     """
-    similar = similar_documents(docs)
-    lost = F.col("component_id").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") != F.col("component_id")))
-    key, g, gone, rows = fresh(docs, "__k", "__g", "__gone", "__rows")
-    flags = similar.groupBy(id_key("doc_id").alias(g)).agg(F.max(lost).alias(gone), F.count("*").alias(rows))
-    flags = cut(flags.filter((F.col(gone) | (F.col(rows) > 1)) & (F.col(g) != NULL_KEY)))
-    kept = docs.withColumn(key, id_key("doc_id")).join(flags, F.col(key) == F.col(g), "left").filter(~F.coalesce(F.col(gone), F.lit(False)))
-    if flags.filter(F.col(rows) > 1).isEmpty():  # no id is there twice, so the texts needn't move again
+    similar = similar_rows(docs)
+    lost = F.col("first").isNotNull() & ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("x") == F.col("first.x")))
+    key, hashed, g, h, gone, rows, row = fresh(docs, "__k", "__x", "__g", "__h", "__gone", "__rows", "__row")
+    flags = similar.filter("n > 0 or id is not null").groupBy(id_key("id").alias(g), F.col("x").alias(h)).agg(F.max(lost).alias(gone), F.count("*").alias(rows))
+    flags = cut(flags.filter(F.col(gone) | (F.col(rows) > 1)))
+    kept = docs.withColumn(key, id_key("doc_id")).withColumn(hashed, F.xxhash64("text"))
+    kept = kept.join(flags, (F.col(key) == F.col(g)) & (F.col(hashed) == F.col(h)), "left").filter(~F.coalesce(F.col(gone), F.lit(False)))
+    if flags.filter((F.col(rows) > 1) & ~F.col(gone)).isEmpty():  # no row that stays is there twice, so the texts needn't move again
         return kept.select(*docs.columns)
-    once = kept.filter(F.col(rows).isNull() | (F.col(rows) == 1))
-    more = kept.filter(F.col(rows) > 1).dropDuplicates([key])
-    return once.union(more).select(*docs.columns)
+    once = kept.filter(F.col(rows).isNull() | (F.col(rows) == 1)).select(*docs.columns)
+    more = kept.filter(F.col(rows) > 1).groupBy(key, hashed).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(row))
+    return once.union(more.select(f"{row}.*"))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -141,15 +141,15 @@ def _choose(percent: int, verify_cost: float):
 
 
 def jaccard_classes(docs: DataFrame, id_col="doc_id", text_col="text", n=5, percent=90, max_frequent=200_000, verify_cost=20.0):
-    """Classes (c, key, n, m, first id), membership (id, key, n) and links between classes (a, b)."""
+    """Classes (c, key, n, m, first row), membership (id, x, key, n; x: the text's hash) and links between classes (a, b)."""
     spark = docs.sparkSession
     order = spark.sparkContext.broadcast(frequent_shingles(docs, text_col, n, max_frequent))
     text = F.col(f"`{text_col}`")
     signed = docs.select(F.col(f"`{id_col}`").alias("id"), id_key(id_col).alias("k"), F.xxhash64(text).alias("x"), _signatures(order, n, percent)(text).alias("s")).select("id", "k", "x", "s.*")
     signed = cut(signed)
-    classes = signed.filter("n > 0").groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("first"), F.min(F.struct("k", "x", "n", "prefix")).alias("r"))
+    classes = signed.filter("n > 0").groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "x")).alias("first"), F.min(F.struct("k", "x", "n", "prefix")).alias("r"))
     classes = cut(classes.select("key", "m", "first", F.col("r.k").alias("rk"), F.col("r.x").alias("rx"), F.col("r.n").alias("n"), F.col("r.prefix").alias("prefix")).withColumn("c", F.monotonically_increasing_id()))
-    members = signed.select("id", "n", "key")
+    members = signed.select("id", "x", "n", "key")
 
     posts = classes.select("c", F.posexplode("prefix").alias("p", "s"))
     shared = posts.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1").withColumnRenamed("s", "ss")
@@ -176,8 +176,9 @@ def jaccard_classes(docs: DataFrame, id_col="doc_id", text_col="text", n=5, perc
     return classes, members, links
 
 
-def similar_documents(docs: DataFrame, id_col="doc_id", text_col="text", n=5, percent=90, **options) -> DataFrame:
-    """(doc_id, n_shingles, n_similar, component_id), one row per input row."""
+def similar_rows(docs: DataFrame, id_col="doc_id", text_col="text", n=5, percent=90, **options) -> DataFrame:
+    """(id, x, n, similar, first), one row per input row: x is the text's xxhash64, first (none, id, x) the row that stands for
+    the component, that with the smallest id, then hash; one without an id only where no row has one. Null for an empty set."""
     classes, members, links = jaccard_classes(docs, id_col, text_col, n, percent, **options)
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     sizes = classes.select(F.col("c").alias("b"), "m")
@@ -186,8 +187,13 @@ def similar_documents(docs: DataFrame, id_col="doc_id", text_col="text", n=5, pe
     firsts = roots.join(classes.select("c", "first"), "c").groupBy("root").agg(F.min("first").alias("component"))
     about = classes.select("c", "key", "m", "first").join(near, "c", "left").join(roots.join(firsts, "root").select("c", "component"), "c", "left")
     about = about.select("key", (F.col("m") - 1 + F.coalesce("near", F.lit(0))).alias("similar"), F.coalesce("component", "first").alias("component"))
-    out = members.join(about, "key", "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component", "id").cast("long").alias("component_id"))
+    return members.join(about, "key", "left").select("id", "x", "n", "similar", F.col("component").alias("first"))
+
+
+def similar_documents(docs: DataFrame, id_col="doc_id", text_col="text", n=5, percent=90, **options) -> DataFrame:
+    """(doc_id, n_shingles, n_similar, component_id), one row per input row."""
+    out = similar_rows(docs, id_col, text_col, n, percent, **options)
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("first.id", "id").cast("long").alias("component_id"))
 
 
 def op7_ngram_jaccard_join(spark, sf_dir):

@@ -1,10 +1,12 @@
 import importlib.util
+import random
 from collections import Counter
 
 import pytest
 
 import corpus_pipeline
 from sparkprep.llm.queries import ORACLE, QUERIES
+from tests.llm.conftest import SCHEMA, prose
 from tests.llm.test_storage_operators import check_packing
 from tests.llm.test_text_operators import brute_benchmark, brute_jaccard, words
 
@@ -58,3 +60,15 @@ def test_run_on_an_empty_table(spark, tmp_path):
 @pytest.mark.parametrize("k", range(5))
 def test_stage_names(k):
     assert isinstance(corpus_pipeline.STAGES[k][0], str) and callable(corpus_pipeline.STAGES[k][1])
+
+
+def test_near_duplicates_by_row(spark):
+    rng = random.Random(21)
+    a, b, p, q, r, x = (prose(rng, 60) for _ in range(6))
+    near = lambda t: t.rsplit(" ", 1)[0] + " other"
+    rows = [(5, a), (5, b), (None, a), (None, near(a)), (3, near(b)), (None, p), (None, p), (None, near(p)), (9, q), (9, q), (9, r), (7, x), (7, near(x)), (None, ""), (None, ""), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", None) for k, (i, t) in enumerate(rows)], SCHEMA).repartition(3)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    first = {r.t: r.x for r in spark.createDataFrame([(t,) for t in (p, near(p), x, near(x))], "t string").selectExpr("t", "xxhash64(t) as x").collect()}
+    least = lambda t: min(t, near(t), key=first.get)
+    assert got == Counter([(5, a), (3, near(b)), (None, least(p)), (9, q), (9, r), (7, least(x)), (None, ""), (None, ""), (None, None), (None, None)])
