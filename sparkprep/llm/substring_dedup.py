@@ -20,19 +20,20 @@ One set of broadcast automata can't hold a corpus, so the shards are addressed b
 The automaton compares words themselves; only step 3's remainder and the choice of candidates rest on hashes (128 and 64 bits).
 
 Defined results: null texts and texts under ``window`` words keep all; repeated rows with one id and text count
-as the same document's, and keep their words alike, unless an earlier document takes them; null ids sort before all others; an empty
-table gives no rows; other columns pass through, whatever their names; very long texts are handled in linear time.
+as the same document's, and keep their words alike, unless an earlier document takes them; rows with one id and different texts
+are different documents, in the order of their texts' hashes; so are all rows without an id, which sort before all others, equal
+texts among them too: one keeps its words; an empty table gives no rows; other columns pass through, whatever their names; very long texts are handled in linear time.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ._common import apart, as_bytes, cut, fresh, hashes, id_key, rolling, sliding_min, stage
+from ._common import NULL_KEY, apart, as_bytes, cut, fresh, hashes, id_key, rolling, sliding_min, stage
 
 ANCHOR = 8  # words of an anchor piece
 
@@ -148,12 +149,14 @@ def _runs(ok: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(e == 1).tolist(), np.flatnonzero(e == -1).tolist()))
 
 
-_REGION = "o long, d long, w array<int>, t array<binary>, starts array<int>, own boolean"
+_REGION = "o {0}, d {0}, w array<int>, t array<binary>, starts array<int>, own boolean"
 
 
-def _regions(window: int):
+def _regions(window: int, wide: bool):
     """Per document with shared anchors: its region text for each owner, and its own as a shard if others follow it."""
 
+    name = pa.binary() if wide else pa.int64()
+
     def cut_out(batches):
         for batch in batches:
             rows = []
@@ -162,7 +165,7 @@ def _regions(window: int):
                 m = window_anchors(words, window)
                 a = np.array(anchors, np.int64).view(np.uint64)
                 order = np.argsort(a)
-                a, own = a[order], np.array(owners, np.int64)[order]
+                a, own = a[order], np.array(owners, object if wide else np.int64)[order]
                 at = np.minimum(np.searchsorted(a, m), len(a) - 1)
                 hit = a[at] == m
                 owner = own[at]
@@ -178,26 +181,26 @@ def _regions(window: int):
                             merged.append([x, y])
                     rows.append((o, k, [x for x, _ in merged], [b" ".join(words[x:y]) for x, y in merged], np.flatnonzero(ok).tolist() if o != k else [], o == k))
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.bool_())
+                kinds = (name, name, pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.bool_())
                 for at in range(0, len(rows), 500):
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows[at : at + 500]), kinds)], ["o", "d", "w", "t", "starts", "own"])
 
     return cut_out
 
 
-_VERDICT = "d long, starts array<int>, h1 long, h2 long"
+_VERDICT = "d {0}, starts array<int>, h1 long, h2 long"
 
 
-def _match(window: int):
+def _match(window: int, wide: bool):
     """Windows of followers: all found in the owner's automaton (h1, h2 null), and each one left over with its hashes."""
 
     def match(batches):
-        owner, automaton = None, None
+        owner, held, automaton = None, None, None
         for batch in batches:
             out_d, out_s, out_1, out_2 = [], [], [], []
             for o, d, first, texts, starts, shard in zip(*(batch[c].to_pylist() for c in ("o", "d", "w", "t", "starts", "shard"))):
-                if automaton is None or o != owner:
-                    owner, automaton = o, build([x.split() for x in shard])
+                if automaton is None or o != owner or shard != held:
+                    owner, held, automaton = o, shard, build([x.split() for x in shard])
                 wanted = np.array(starts, np.int64)
                 for x, text in zip(first, texts):
                     words = text.split()
@@ -218,13 +221,29 @@ def _match(window: int):
                         out_1 += rolling(h, window)[rest].view(np.int64).tolist()
                         out_2 += rolling(h, window, 0xD6E8FEB86659FD93)[rest].view(np.int64).tolist()
             if out_d:
-                yield pa.RecordBatch.from_arrays([pa.array(out_d, pa.int64()), pa.array(out_s, pa.list_(pa.int32())), pa.array(out_1, pa.int64()), pa.array(out_2, pa.int64())], ["d", "starts", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([pa.array(out_d, pa.binary() if wide else pa.int64()), pa.array(out_s, pa.list_(pa.int32())), pa.array(out_1, pa.int64()), pa.array(out_2, pa.int64())], ["d", "starts", "h1", "h2"])
 
     return match
 
 
-def repeated_starts(docs: DataFrame, id_col="doc_id", text_col="text", window=20) -> DataFrame:
-    """(d, starts) per id key: starts of windows that an earlier document holds."""
+def _row_key(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, bool, bool]:
+    """A key for each text of each id, in the order of ids, then text hashes; whether it is wide (16 bytes, where an id, or null,
+    has several texts, else the id key); whether rows without an id may be copies of one another."""
+    k, x = id_key(id_col), F.xxhash64(f"`{text_col}`")
+    texts = docs.select(k.alias("k"), x.alias("x")).groupBy("k").agg((F.min("x") != F.max("x")).alias("many"), F.count("*").alias("n"))
+    texts = cut(texts.filter(F.col("many") | ((F.col("k") == NULL_KEY) & (F.col("n") > 1))))
+    copies = not texts.filter(F.col("k") == NULL_KEY).isEmpty()
+    if texts.filter("many").isEmpty():
+        return k, False, copies
+    if texts.filter(F.col("many") & (F.col("k") != NULL_KEY)).isEmpty():
+        x = F.when(k == NULL_KEY, x).otherwise(F.lit(0))
+    wide = [F.lpad(F.hex(v.bitwiseXOR(F.lit(NULL_KEY))), 16, "0") for v in (k, x)]
+    return F.unhex(F.concat(*wide)), True, copies
+
+
+def repeated_starts(docs: DataFrame, key: Column, wide: bool, text_col="text", window=20) -> DataFrame:
+    """(d, starts) per row key: starts of windows that an earlier document holds."""
+    name = "binary" if wide else "long"
     text = F.col(f"`{text_col}`")
 
     def anchors(t: pa.Array) -> pa.Array:
@@ -235,18 +254,18 @@ def repeated_starts(docs: DataFrame, id_col="doc_id", text_col="text", window=20
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
 
-    rows = docs.select(id_key(id_col).alias("d"), arrow_udf(anchors, "array<bigint>").asNondeterministic()(text).alias("a"))
+    rows = docs.select(key.alias("d"), arrow_udf(anchors, "array<bigint>").asNondeterministic()(text).alias("a"))
     rows = rows.select("d", F.explode("a").alias("a"))
     owned = rows.groupBy("a").agg(F.min("d").alias("o"), F.max("d").alias("z")).filter("o <> z").select(F.col("a").alias("b"), "o")
     owned = cut(owned)
     shared = rows.join(owned, F.col("a") == F.col("b")).groupBy("d").agg(F.collect_list(F.struct("a", "o")).alias("x"))
     shared = shared.select("d", F.col("x.a").alias("a"), F.col("x.o").alias("o"))
-    keyed = docs.select(id_key(id_col).alias("k"), text.alias("t"))
-    regions = keyed.join(shared, F.col("k") == F.col("d")).select("k", "t", "a", "o").mapInArrow(_regions(window), _REGION)
+    keyed = docs.select(key.alias("k"), text.alias("t"))
+    regions = keyed.join(shared, F.col("k") == F.col("d")).select("k", "t", "a", "o").mapInArrow(_regions(window, wide), _REGION.format(name))
     regions = stage(regions)
     shards = regions.filter("own").select(F.col("o").alias("so"), F.col("t").alias("shard"))
     followers = regions.filter("not own").select("o", "d", "w", "t", "starts")
-    verdicts = followers.join(shards, F.col("o") == F.col("so")).drop("so").mapInArrow(_match(window), _VERDICT)
+    verdicts = followers.join(shards, F.col("o") == F.col("so")).drop("so").mapInArrow(_match(window, wide), _VERDICT.format(name))
     verdicts = cut(verdicts)
     found = verdicts.filter("h1 is null").select("d", "starts")
     left = verdicts.filter("h1 is not null")
@@ -260,13 +279,15 @@ _RESULT = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("text"
 
 
 def _remove(window: int):
-    def remove(text: pa.Array, starts: pa.Array) -> pa.Array:
+    def remove(text: pa.Array, starts: pa.Array, again: pa.Array) -> pa.Array:
         out = []
-        for t, s in zip(as_bytes(text), starts.to_pylist()):
+        for t, s, copy in zip(as_bytes(text), starts.to_pylist(), again.to_pylist()):
             words = t.split() if t else []
             n = len(words)
             at = np.array(s or [], np.int64)
-            if n >= window:
+            if copy:
+                at = np.arange(max(0, n - window + 1))
+            elif n >= window:
                 at = np.concatenate((at, self_repeats(words, window)))
             if not len(at):
                 out.append({"n_words": n, "n_removed": 0, "text": None if t is None else t.decode(), "spans": []})
@@ -280,10 +301,19 @@ def _remove(window: int):
 
 def dedup_corpus(docs: DataFrame, id_col="doc_id", text_col="text", window=20, out="dedup") -> DataFrame:
     """``docs`` with a column ``out``: struct(n_words, n_removed, text that is left, removed spans in words)."""
-    (out, key, d, starts) = fresh(docs, out, "__k", "__d", "__starts")
-    gone = repeated_starts(docs, id_col, text_col, window).select(F.col("d").alias(d), F.col("starts").alias(starts))
-    joined = docs.withColumn(key, id_key(id_col)).join(gone, F.col(key) == F.col(d), "left")
-    return joined.withColumn(out, _remove(window)(F.col(f"`{text_col}`"), F.col(starts))).drop(key, d, starts)
+    out, key, d, starts, again = fresh(docs, out, "__k", "__d", "__starts", "__again")
+    row, wide, copies = _row_key(docs, id_col, text_col)
+    text = F.col(f"`{text_col}`")
+    gone = repeated_starts(docs, row, wide, text_col, window).select(F.col("d").alias(d), F.col("starts").alias(starts))
+    joined = docs.withColumn(key, row).join(gone, F.col(key) == F.col(d), "left")
+    if copies:  # of equal texts without an id one is the first
+        order = F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t])
+        number = F.row_number().over(Window.partitionBy(key).orderBy(order))
+        alone = F.col(f"`{id_col}`").isNotNull() | text.isNull()
+        joined = joined.filter(alone).withColumn(again, F.lit(False)).union(joined.filter(~alone).withColumn(again, number > 1))
+    else:
+        joined = joined.withColumn(again, F.lit(False))
+    return joined.withColumn(out, _remove(window)(text, F.col(starts), F.col(again))).drop(key, d, starts, again)
 
 
 def _shard_starts(shard, window: int):

@@ -337,3 +337,36 @@ def test_remove_reference_spans(spark, docs, corpus, shard):
         ws = words(r.text)
         gone = {i + j for i in range(len(ws) - 5) if tuple(ws[i : i + 6]) in known for j in range(6)}
         assert r.dedup.n_removed == len(gone) and words(r.dedup.text) == [w for i, w in enumerate(ws) if i not in gone]
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_spans_by_row(spark, twice):
+    rng = random.Random(12)
+    share = [prose(rng, 9) for _ in range(4)]
+    text = lambda: " ".join(rng.choice([rng.choice(share), prose(rng, rng.randint(0, 8))]) for _ in range(rng.randint(0, 8)))
+    rows = [(None, text()) for _ in range(12)] + [(k, text()) for k in range(8)]
+    rows += [rows[0], rows[0], rows[3], rows[14], (None, None), (None, None), (None, "")]
+    if twice:
+        rows += [(k % 3, text()) for k in range(9)] + [(2, share[0]), (2, "short"), (None, share[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    x = {r.text: r.x for r in df.selectExpr("text", "xxhash64(text) as x").collect()}
+    seen, want = {}, Counter()
+    for k, (i, t) in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, x[r[1]]))):
+        ws, gone, me = words(t), set(), k if i is None else (i, t)
+        for at in range(len(ws) - 5):
+            first = seen.setdefault(tuple(ws[at : at + 6]), (me, at))
+            if first[0] != me or first[1] < at:
+                gone |= set(range(at, at + 6))
+        want[i, len(ws), len(gone), " ".join(w for at, w in enumerate(ws) if at not in gone)] += 1
+    got = Counter((r.doc_id, r.dedup.n_words, r.dedup.n_removed, " ".join(words(r.dedup.text))) for r in substring_dedup.dedup_corpus(df, window=6).collect())
+    assert got == want
+
+
+def test_match_rebuilds_for_each_shard():
+    import pyarrow as pa
+
+    def row(shard):
+        return {"o": 1, "d": 2, "w": [0], "t": [b"a b c"], "starts": [0], "shard": [shard]}
+
+    got = [b.to_pydict() for b in substring_dedup._match(3, False)([pa.RecordBatch.from_pylist([row(b"x a b c"), row(b"x y z")])])]
+    assert [h is None for h in got[0]["h1"]] == [True, False]
