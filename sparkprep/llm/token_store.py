@@ -7,7 +7,8 @@ The file stores rules, the expansion length of every rule and each document's of
 ids, so that a document, or a range of its ids, is decoded without expanding anything before it.
 
 Encoding: words repeat, and byte-level BPE never joins across a single space or line end between visible characters, so every such
-word is encoded once by the tokenizer and then found in a worker's cache (emptied at ``CACHE`` words).
+word is encoded once by the tokenizer and then found in a worker's cache (emptied at ``CACHE`` words). Texts that contain the
+string of an added token (<|endoftext|>) go to the tokenizer whole.
 
 Documents are range-partitioned and sorted by id; only the number of ids per partition reaches the driver.
 The table of shards is materialised before anything reads it: a task that runs again writes files of its own.
@@ -43,7 +44,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # such strings in a text are ordinary text
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         # every character of a byte-level token stands for one byte
         self.width = np.array([len(self.tok.id_to_token(k) or "") for k in range(self.tok.get_vocab_size())], np.int64)
         self.cache: dict[str, bytes] = {}
@@ -80,7 +81,9 @@ class Encoder:
 
     def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
         cache, heads, rest = self.cache, [], []
-        for t in texts:
+        whole = [k for k, t in enumerate(texts) if t and any(x in t for x in self.added)]
+        special = dict(zip(whole, self.tok.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False))) if whole else {}
+        for t in [None if k in special else t for k, t in enumerate(texts)] if special else texts:
             head, *ws = self.words(t) if t else [""]
             heads.append(head)
             rest.append(ws)
@@ -104,6 +107,8 @@ class Encoder:
             for k in missing:
                 raw = b"".join(map(cache.__getitem__, rest[k]))
                 out[k] = np.frombuffer(np.array(first[k].ids, np.uint16).tobytes() + raw, np.uint16)
+        for k, e in special.items():
+            out[k] = np.array(e.ids, np.uint16)
         return out
 
     @staticmethod

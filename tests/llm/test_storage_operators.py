@@ -165,6 +165,16 @@ def test_encoder_equals_the_library(corpus):
         assert ids.tolist() == enc.tok.encode(t or "", add_special_tokens=False).ids, repr(t)
 
 
+def test_added_tokens_like_the_library_as_it_is():
+    from tokenizers import Tokenizer
+
+    path = token_store.default_tokenizer()
+    tok = Tokenizer.from_file(path)
+    texts = ["see <|endoftext|> here", "plain text", "<|endoftext|>", None, "a<|endoftext|><|endoftext|>\n b  c", "<|endoftext |> <|endo", *HARD]
+    got = [x.tolist() for x in token_store.Encoder(path).encode_many(texts)]
+    assert got == [tok.encode(t or "", add_special_tokens=False).ids for t in texts] and 50256 in got[0]
+
+
 def test_grammar_round_trip():
     rng = np.random.default_rng(0)
     for trial in range(20):
