@@ -280,6 +280,34 @@ def test_license_texts(spark, docs, empty):
     assert licenses.scan_licenses(docs).filter("size(licenses) > 0").count() == 0 == licenses.scan_licenses(empty).count()
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("This project is licensed under the MIT License.", "MIT-notice"),
+        ("Released under the MIT license, see LICENSE for details.", "MIT-notice"),
+        ("Some text before. Released under the MIT License.", "MIT-notice"),
+        ("a few words of prose and released under the MIT License and more words after it", "MIT-notice"),
+        ("This project is licensed under the Apache License 2.0.", "Apache-2.0-notice"),
+        ("It is licensed under the GNU General Public License, version 2.", "GPL-2.0-notice"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "CC-BY-NC-4.0-notice"),
+        ("# SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause-notice"),
+        ("the weather was fine under the old bridge, and the license of the fisherman had expired", None),
+    ],
+)
+def test_license_wordings(spark, text, want):
+    df = spark.createDataFrame([("x y z\n" + text,)], "text string")
+    assert {x.license for x in licenses.scan_licenses(df).first().licenses} == {want} - {None}
+
+
+def test_whole_licence_texts(spark):
+    from sparkprep.llm.license_texts import VARIANTS
+
+    names = ["Apache-2.0", "GPL-3.0"]
+    df = spark.createDataFrame([(k, "Title of it. " + " ".join(VARIANTS[n][0].split()) + " The end") for k, n in enumerate(names)], "doc_id int, text string")
+    got = {r.doc_id: {x.license: x.dice for x in r.licenses} for r in licenses.scan_licenses(df).collect()}
+    assert all(got[k][n] > 0.99 for k, n in enumerate(names))
+
+
 # 10: substring dedup
 
 
