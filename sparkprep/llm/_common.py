@@ -12,8 +12,10 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 from xxhash import xxh3_64_intdigest
 
 #: Stands for a null id inside joins, so that such rows are neither lost nor matched with each other by accident.
@@ -83,6 +85,33 @@ def apart(number):
     return F.bitwise_not(F.bitwise_not(number))
 
 
+def key_filter(keys: DataFrame, *columns: str, bits: int = 1 << 26):
+    """Bloom filter of the rows of ``keys``, as a function of the same number of columns: false only where no row has these values.
+
+    It takes ``bits`` / 8 bytes whatever the number of keys, and is broadcast; the driver gets one number for each of its
+    ``bits`` / 64 parts at most. With very many keys it lets more rows pass, which costs time, not correctness.
+    """
+    spots = lambda h: (F.shiftright(h, 32), h)
+    h = F.xxhash64(*columns)
+    spread = F.explode(F.array(*[F.pmod(x, F.lit(bits)) for x in spots(h)]))
+    parts = keys.select(spread.alias("at")).groupBy((F.col("at") / 64).cast("int").alias("part")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("has"))
+    got = parts.toArrow()
+    table = np.zeros(bits // 64, np.int64)
+    table[got["part"].to_numpy()] = got["has"].to_numpy()
+    shared = keys.sparkSession.sparkContext.broadcast(table)
+
+    @arrow_udf("boolean")
+    def may(h: pa.Array) -> pa.Array:
+        table, h = shared.value, h.to_numpy(zero_copy_only=False)
+        found = np.ones(len(h), bool)
+        for x in (h >> 32, h):
+            at = x % bits
+            found &= (table[at >> 6] >> (at & 63)) & 1 == 1
+        return pa.array(found)
+
+    return lambda *values: may(F.xxhash64(*values))
+
+
 def hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 

@@ -4,8 +4,10 @@ A document's set are the hashes of its distinct ``n``-word shingles.  Documents
 classes are joined.  All sets are put into one global order, rare shingles first.  If two sets overlap in at least t
 elements, their prefixes of length size - t + l share at least l elements: the l-prefix filter.  Each class picks its own
 l by estimated cost: postings touched by the longer prefix, plus verifications expected from what l matches leave
-(sum of posting lengths / l).  A pair is a candidate when it shares at least min(l) elements of its min(l)-prefixes; sizes
-are bounded by joining on the size's logarithm as well.  Candidates are verified on their whole sets.
+(sum of posting lengths / l).  A pair of sizes n1 <= n2 that must overlap in t12 elements is a candidate when its
+min(l)-prefixes share at least min(l) + t12 - t2: what follows a prefix of the larger set can add t2 - min(l) at most.  Sizes
+are bounded by joining on the size's logarithm as well.  Candidates are verified on their whole sets, for which only texts
+that a Bloom filter of the candidates' keys lets through are moved.
 
 Order: chunks of documents count their shingles and hand on what they saw twice; these counts are summed, and the most
 frequent ``max_frequent`` at most (a threshold is found from the histogram) are broadcast as 8-byte hashes, to be sorted
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from ._common import LOWER_TABLE, as_bytes, cut, hashes, id_key, rolling
+from ._common import LOWER_TABLE, as_bytes, cut, hashes, id_key, key_filter, rolling
 from .components import connected_components
 
 MAX_L = 8
@@ -163,12 +165,14 @@ def jaccard_classes(docs: DataFrame, id_col="doc_id", text_col="text", n=5, perc
     small = rows.select("s", "z", *[F.col(x).alias(x + "1") for x in ("c", "n", "l", "v")])
     large = rows.select("s", F.explode(F.array("z", F.col("z") - 1)).alias("z"), *[F.col(x).alias(x + "2") for x in ("c", "n", "l", "v")])
     pairs = small.join(large, ["s", "z"]).filter("(n1 < n2 or (n1 = n2 and c1 < c2)) and 100 * n1 >= %d * n2 and greatest(v1, v2) <= least(l1, l2)" % percent)
-    pairs = pairs.groupBy("c1", "c2").agg(F.count("*").alias("shared"), F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.first(F.least("l1", "l2")).alias("l")).filter("shared >= l")
-    pairs = cut(pairs.select("c1", "c2", "n1", "n2"))
+    pairs = pairs.groupBy("c1", "c2").agg(F.count("*").alias("shared"), F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.first(F.least("l1", "l2")).alias("l"))
+    need = F.ceil((F.col("n1") + F.col("n2")) * percent / (100 + percent)) - F.ceil(F.col("n2") * percent / 100)
+    pairs = cut(pairs.filter(F.col("shared") >= F.col("l") + F.greatest(need, F.lit(0))).select("c1", "c2", "n1", "n2"))
 
     wanted = pairs.select(F.col("c1").alias("c")).union(pairs.select(F.col("c2").alias("c"))).distinct()
-    reps = classes.select("c", "rk", "rx").join(wanted, "c")
-    sets = docs.select(id_key(id_col).alias("k"), F.xxhash64(text).alias("x"), text.alias("t")).join(reps, (F.col("k") == F.col("rk")) & (F.col("x") == F.col("rx"))).select("c", "t").withColumn("set", _set_udf(n)(F.col("t"))).select("c", "set")
+    reps = cut(classes.select("c", "rk", "rx").join(wanted, "c"))
+    may = key_filter(reps, "rk", "rx")
+    sets = docs.select(id_key(id_col).alias("k"), F.xxhash64(text).alias("x"), text.alias("t")).filter(may("k", "x")).join(reps, (F.col("k") == F.col("rk")) & (F.col("x") == F.col("rx"))).select("c", "t").withColumn("set", _set_udf(n)(F.col("t"))).select("c", "set")
     sets = cut(sets)
     checked = pairs.join(sets.select(F.col("c").alias("c1"), F.col("set").alias("set1")), "c1").join(sets.select(F.col("c").alias("c2"), F.col("set").alias("set2")), "c2")
     checked = checked.select("c1", "c2", "n1", "n2", arrow_udf(_overlap, "bigint").asNondeterministic()("set1", "set2").alias("o"))
