@@ -8,8 +8,7 @@ Pieces never cross white space, so a text's probability factors over its words a
 words it has met (the cache is emptied at ``CACHE`` words: memory is bounded, results don't depend on it).
 
 Learning uses only rows that the caller admits, and only text and label: the ``docs_per_lang`` documents of each label
-that are first in a hash order of their text, and of these the ``words_per_lang`` most frequent words: this bounded,
-documented sample is all that reaches the driver.
+that are first in a hash order of their text. Only the counts of their words reach the driver.
 
 Defined results: null text or text without a letter is ``und`` with score 0; ties go to the label that sorts first;
 without labelled rows everything is ``und``; an empty table gives no rows; other columns pass through.
@@ -19,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,13 @@ from ._common import fresh
 
 CACHE = 700_000
 _MARK = "▁"
-_TOKEN = re.compile(r"[^\W\d_]+", re.UNICODE)
+# letters (category L): word characters without the numbers, of which there are more kinds than \d
+_TOKEN = re.compile(f"[^\\W_{''.join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha())}]+")
+SHORT = 40  # longer words are worked on one by one, in logarithms
+
+
+def words_of(text: str) -> list[str]:
+    return _TOKEN.findall(text.lower())
 
 
 def load_pieces(path: str | None = None) -> list[str]:
@@ -67,7 +73,7 @@ class PieceModel:
         for k, w in enumerate(words):
             groups.setdefault(len(w) + 1, []).append(k)
         for n, ks in groups.items():
-            if n > 40:
+            if n > SHORT:
                 for k in ks:
                     out[k] = self.forward(words[k])
                 continue
@@ -137,9 +143,9 @@ class PieceModel:
         get = self._cache.__getitem__
         return [get(w) for w in words]
 
-    def score_many(self, texts: list[str]) -> np.ndarray:
-        """Log probability of each text under each language; zeros without a letter."""
-        out = np.zeros((len(texts), len(self.langs)))
+    def score_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of each text under each language, zeros without a letter; how many words it has."""
+        out, size = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
         words: list[str] = []
         owner: list[tuple[int, int]] = []  # text, words of it in this round
 
@@ -154,7 +160,8 @@ class PieceModel:
             owner.clear()
 
         for k, t in enumerate(texts):
-            ws = _TOKEN.findall(t.lower())
+            ws = words_of(t)
+            size[k] = len(ws)
             for x in range(0, len(ws), CACHE // 4):
                 part = ws[x : x + CACHE // 4]
                 if len(words) + len(part) > CACHE // 4:
@@ -162,13 +169,94 @@ class PieceModel:
                 words += part
                 owner.append((k, len(part)))
         flush()
-        return out
+        return out, size
 
     def _scores_of(self, words: list[str]) -> np.ndarray:
         rows = self.known(words)
         return self._scores[rows]
 
 
+def _lattices(words: list[str], index: dict[str, int], longest: int):
+    """Where which pieces lie in the words, by length: word numbers, length, and (start, end, piece of each word) of each arc."""
+    groups: dict[int, list[int]] = {}
+    for k, w in enumerate(words):
+        groups.setdefault(len(w) + 1, []).append(k)
+    get = index.get
+    for n, ks in groups.items():
+        if n > SHORT:
+            yield ks, n, None
+            continue
+        arcs = [(i, j) for j in range(1, n + 1) for i in range(max(0, j - longest), j)]
+        for at in range(0, len(ks), 2048):
+            part = ks[at : at + 2048]
+            found = np.array([[get(s[i:j], -1) for i, j in arcs] for s in (_MARK + words[k] for k in part)], np.int32)
+            used = np.flatnonzero((found >= 0).any(axis=0)).tolist()
+            yield part, n, [(*arcs[c], found[:, c].copy()) for c in used]
+
+
+def _expected(lattices: list, words: list[str], times: np.ndarray, index: dict[str, int], longest: int, p: np.ndarray, floor: float) -> np.ndarray:
+    """Expected number of uses of every piece, over all segmentations of the words: forward times backward."""
+    seen = np.zeros(len(p) + 1)  # the last is for words without a piece there
+    table = np.append(p, 0.0)
+    for part, n, arcs in lattices:
+        if arcs is None:
+            for k in part:
+                _expected_long(words[k], times[k], index, longest, table, floor, seen)
+            continue
+        q = [table[pieces] for _, _, pieces in arcs]
+        a, b = np.zeros((n + 1, len(part))), np.zeros((n + 1, len(part)))
+        a[0] = b[n] = 1.0
+        at = 0
+        for j in range(1, n + 1):
+            a[j] = floor * a[j - 1]
+            while at < len(arcs) and arcs[at][1] == j:
+                a[j] += a[arcs[at][0]] * q[at]
+                at += 1
+        begin: dict[int, list[int]] = {}
+        for c, (i, _, _) in enumerate(arcs):
+            begin.setdefault(i, []).append(c)
+        for i in range(n - 1, -1, -1):
+            b[i] = floor * b[i + 1]
+            for c in begin.get(i, ()):
+                b[i] += b[arcs[c][1]] * q[c]
+        if arcs:
+            z = times[part] / a[n]
+            uses = np.concatenate([z * a[i] * x * b[j] for (i, j, _), x in zip(arcs, q)])
+            pieces = np.concatenate([x for _, _, x in arcs])
+            seen += np.bincount(np.where(pieces < 0, len(p), pieces), uses, len(seen))
+    return seen[:-1]
+
+
+def _expected_long(word: str, times: float, index: dict[str, int], longest: int, table: np.ndarray, floor: float, seen: np.ndarray) -> None:
+    s = _MARK + word
+    n = len(s)
+    arcs = [(i, j, k) for j in range(1, n + 1) for i in range(max(0, j - longest), j) if (k := index.get(s[i:j])) is not None]
+    a = np.full(n + 1, -np.inf)
+    a[0] = 0.0
+    log, unknown, at = np.log(table[:-1]), math.log(floor), 0
+    for j in range(1, n + 1):
+        a[j] = unknown + a[j - 1]
+        while at < len(arcs) and arcs[at][1] == j:
+            a[j] = np.logaddexp(a[j], a[arcs[at][0]] + log[arcs[at][2]])
+            at += 1
+    b = _backward(n, arcs, log, unknown)
+    for i, j, k in arcs:
+        seen[k] += times * math.exp(a[i] + log[k] + b[j] - a[n])
+
+
+def _backward(n: int, arcs: list[tuple[int, int, int]], log: np.ndarray, unknown: float) -> np.ndarray:
+    begin: dict[int, list[tuple[int, int]]] = {}
+    for i, j, k in arcs:
+        begin.setdefault(i, []).append((j, k))
+    b = np.full(n + 1, -np.inf)
+    b[n] = 0.0
+    for i in range(n - 1, -1, -1):
+        b[i] = unknown + b[i + 1]
+        for j, k in begin.get(i, ()):
+            b[i] = np.logaddexp(b[i], b[j] + log[k])
+    return b
+
+
 def fit(counts: dict[str, dict[str, float]], pieces: list[str], rounds: int = 2, floor: float = 1e-7) -> PieceModel:
     """EM over word counts per language. ``floor`` is each piece's least probability, and an unknown character's."""
     langs = sorted(counts)
@@ -176,61 +264,45 @@ def fit(counts: dict[str, dict[str, float]], pieces: list[str], rounds: int = 2,
     longest = max(map(len, pieces), default=1)
     probs = np.zeros((len(pieces), len(langs)))
     for c, lang in enumerate(langs):
-        lattice = {}
-        for w in counts[lang]:
-            s = _MARK + w
-            lattice[w] = (len(s), [(i, j, k) for j in range(1, len(s) + 1) for i in range(max(0, j - longest), j) if (k := index.get(s[i:j])) is not None])
-        p = [1.0 / (len(pieces) or 1)] * len(pieces)
+        words = sorted(counts[lang])
+        times = np.array([counts[lang][w] for w in words])
+        lattices = list(_lattices(words, index, longest))
+        p = np.full(len(pieces), 1.0 / (len(pieces) or 1))
         for _ in range(rounds):
-            seen = [0.0] * len(pieces)
-            for w, times in counts[lang].items():
-                n, arcs = lattice[w]
-                if n > 200:
-                    continue  # such words don't fit doubles unscaled, and hardly any training word is so long
-                a = [0.0] * (n + 1)
-                a[0], at = 1.0, 1
-                for i, j, k in arcs:
-                    while at < j:
-                        a[at] += floor * a[at - 1]
-                        at += 1
-                    a[j] += a[i] * p[k]
-                while at <= n:
-                    a[at] += floor * a[at - 1]
-                    at += 1
-                b = [0.0] * (n + 1)
-                b[n] = 1.0
-                back = n
-                for i, j, k in reversed(arcs):
-                    while back > j:
-                        b[back - 1] += floor * b[back]
-                        back -= 1
-                    b[i] += b[j] * p[k]
-                if a[n] > 0:
-                    z = times / a[n]
-                    for i, j, k in arcs:
-                        seen[k] += z * a[i] * p[k] * b[j]
-            total = sum(seen) or 1.0
-            p = [max(floor, x / total) for x in seen]
+            seen = _expected(lattices, words, times, index, longest, p, floor)
+            p = np.maximum(floor, seen / (seen.sum() or 1.0))
         probs[:, c] = p
     return PieceModel(langs, pieces, probs, floor)
 
 
-def learn(labelled: DataFrame, text_col="text", label_col="lang", vocabulary: str | None = None, docs_per_lang=400, words_per_lang=8_000, rounds=2) -> PieceModel:
+def learn(labelled: DataFrame, text_col="text", label_col="lang", vocabulary: str | None = None, docs_per_lang=400, rounds=2) -> PieceModel:
     """Fit on a bounded sample: see the module's text. ``labelled`` must hold training rows only."""
     rows = labelled.select(F.col(f"`{text_col}`").alias("t"), F.col(f"`{label_col}`").cast("string").alias("l")).filter("t is not null and l is not null")
     order = Window.partitionBy("l").orderBy("h")
     first = rows.select("l", F.xxhash64("t").alias("h")).distinct().withColumn("r", F.row_number().over(order)).filter(F.col("r") <= docs_per_lang)
     picked = rows.withColumn("h", F.xxhash64("t")).join(F.broadcast(first.select("l", "h")), ["l", "h"]).dropDuplicates(["l", "h"])
-    words = picked.select("l", F.explode(F.expr(r"regexp_extract_all(lower(t), '[\\p{L}]+', 0)")).alias("w")).groupBy("l", "w").agg(F.count("*").alias("n"))
-    top = words.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "w"))).filter(F.col("r") <= words_per_lang)
+
+    def count(batches):
+        for batch in batches:
+            found: Counter = Counter()
+            for lang, t in zip(batch["l"].to_pylist(), batch["t"].to_pylist()):
+                found.update((lang, w) for w in words_of(t))
+            if found:
+                ls, ws = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(ls), pa.array(ws), pa.array(list(found.values()), pa.int64())], ["l", "w", "n"])
+
     counts: dict[str, dict[str, float]] = {}
-    for r in top.select("l", "w", "n").toLocalIterator():
+    for r in picked.select("l", "t").mapInArrow(count, "l string, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n")).toLocalIterator():
         counts.setdefault(r.l, {})[r.w] = float(r.n)
     return fit(counts, load_pieces(vocabulary), rounds)
 
 
 def predict(docs: DataFrame, model: PieceModel, text_col="text", out="language") -> DataFrame:
-    """``docs`` with a column ``out``: struct(lang, score); score is the posterior of the label under equal priors."""
+    """``docs`` with a column ``out``: struct(lang, score).
+
+    score is the label's posterior under equal priors for a word of average evidence (log probabilities are divided by the number of
+    words), so it says how clear the words are about their language, not how many there are.
+    """
     (out,) = fresh(docs, out)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -239,14 +311,14 @@ def predict(docs: DataFrame, model: PieceModel, text_col="text", out="language")
         m = shared.value
         texts = [t or "" for t in text.to_pylist()]
         lang, score = [], []
-        for t, s in zip(texts, m.score_many(texts)):
-            if not m.langs or not _TOKEN.search(t):
+        for s, n in zip(*m.score_many(texts)):
+            if not m.langs or not n:
                 lang.append("und")
                 score.append(0.0)
                 continue
             best = int(np.argmax(s))
             lang.append(m.langs[best])
-            score.append(float(1.0 / np.exp(s - s[best]).sum()))
+            score.append(float(1.0 / np.exp((s - s[best]) / n).sum()))
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang", "score"])
 
     return docs.withColumn(out, identify.asNondeterministic()(F.col(f"`{text_col}`")))

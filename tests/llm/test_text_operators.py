@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -86,7 +87,46 @@ def test_forward_sums_all_segmentations():
     for w, row in zip(ws[:6], many):
         assert np.allclose(row, [math.log(brute("▁" + w, k)) for k in (0, 1)])
     assert np.allclose(many, [m.forward(w) for w in ws]) and np.isfinite(many).all()
-    assert np.allclose(m.score_many(["ab abc", "", "ab  AB 12"]), [many[0] + many[1], [0, 0], 2 * many[0]])
+    sums, sizes = m.score_many(["ab abc", "", "ab  AB 12"])
+    assert np.allclose(sums, [many[0] + many[1], [0, 0], 2 * many[0]]) and sizes.tolist() == [2, 0, 2]
+
+
+def test_fit_like_brute_force(monkeypatch):
+    """Expected piece counts over all segmentations, written out, for two rounds; in logarithms too."""
+    pieces, floor = ["▁", "▁a", "ab", "b", "c", "▁ab", "ca"], 1e-3
+
+    def ways(s):
+        """Segmentations as lists of pieces; None is an unknown character."""
+        if not s:
+            return [[]]
+        out = [[None, *rest] for rest in ways(s[1:])]
+        return out + [[s[:n], *rest] for n in range(1, len(s) + 1) if s[:n] in pieces for rest in ways(s[n:])]
+
+    counts = {"x": {"ab": 3.0, "abc": 1.0, "cab": 2.0}, "y": {"cc": 1.0, "a": 5.0, "qab": 1.0}}
+    want = {}
+    for lang, ws in counts.items():
+        p = dict.fromkeys(pieces, 1 / len(pieces))
+        for _ in range(2):
+            seen = Counter()
+            for w, n in ws.items():
+                each = [(math.prod(floor if x is None else p[x] for x in way), way) for way in ways("▁" + w)]
+                total = sum(q for q, _ in each)
+                for q, way in each:
+                    for x in way:
+                        if x is not None:
+                            seen[x] += n * q / total
+            p = {x: max(floor, seen[x] / sum(seen.values())) for x in pieces}
+        want[lang] = [p[x] for x in pieces]
+    for short in (40, 0):
+        monkeypatch.setattr(langid, "SHORT", short)
+        m = langid.fit(counts, pieces, 2, floor)
+        assert m.langs == ["x", "y"] and np.allclose(m.probs, np.array([want["x"], want["y"]]).T)
+    long = langid.fit({"x": {"ab" * 200: 1.0, "c": 1.0}}, pieces, 2, 1e-7)
+    assert np.isfinite(long.probs).all() and long.probs[2, 0] > 0.9
+
+
+def test_words_are_letters():
+    assert langid.words_of("½ ² Ⅷ 12 _ ١ -") == [] and langid.words_of("Ab½c ünï_日本9x") == ["ab", "c", "ünï", "日本", "x"]
 
 
 def test_language_of_held_out_texts(spark, empty):
@@ -95,10 +135,12 @@ def test_language_of_held_out_texts(spark, empty):
     rows = [(k, prose(rng, 40) if k % 2 else " ".join(rng.choice(other) for _ in range(40)), "en" if k % 2 else "de") for k in range(80)]
     df = spark.createDataFrame(rows, "doc_id int, text string, lang string")
     model = langid.learn(df.filter("doc_id < 50"))
-    extra = spark.createDataFrame([(90, None, None), (91, "", None), (92, "12 34 !", None), (93, "x" * 5000, None)], df.schema)
+    extra = spark.createDataFrame([(90, None, None), (91, "", None), (92, "12 34 ! ½ ² Ⅷ", None), (93, "x" * 5000, None)], df.schema)
     got = langid.predict(df.filter("doc_id >= 50").union(extra).withColumn("Language", F.lit(1)), model, out="language").collect()
     by = {r.doc_id: r["_language"] for r in got}
     assert all(by[k].lang == ("en" if k % 2 else "de") and 0.5 < by[k].score <= 1 for k in range(50, 80))
+    tie = langid.PieceModel(["de", "en"], ["▁", "a"], np.full((2, 2), 0.5), 1e-7)
+    assert [tuple(r.language) for r in langid.predict(spark.createDataFrame([("a",)], "text string"), tie).collect()] == [("de", 0.5)]
     assert [tuple(by[k]) for k in (90, 91, 92)] == [("und", 0.0)] * 3 and by[93].lang in ("en", "de")
     assert langid.predict(empty, model).count() == 0
     none = langid.learn(empty)
@@ -398,3 +440,28 @@ def test_match_rebuilds_for_each_shard():
 
     got = [b.to_pydict() for b in substring_dedup._match(3, False)([pa.RecordBatch.from_pylist([row(b"x a b c"), row(b"x y z")])])]
     assert [h is None for h in got[0]["h1"]] == [True, False]
+
+
+def test_languages_like_brute_force(spark, tmp_path):
+    """The query, against a forward pass word by word with the model of the same training rows."""
+    rng = random.Random(7)
+    other = "der die das und nicht ich wir haben werden schon über für gegen zwischen straße".split()
+    rows = [(k, [prose(rng, 12), " ".join(rng.choice(other) for _ in range(9)), "½ 12", None][k % 4 if k % 9 else 0], ["en", "de", "en", None][k % 4 if k % 9 else 0]) for k in range(120)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    held = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i, _, _ in rows}
+    counts = {}
+    for lang, t in {(lang, t) for i, t, lang in rows if t and lang and not held[i]}:
+        for w in re.findall(r"[^\W\d_½]+", t.lower()):
+            counts.setdefault(lang, Counter())[w] += 1
+    m = langid.fit(counts, langid.load_pieces())
+    got = {r.doc_id: r for r in langid.op3_language_id(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for i, t, _ in rows:
+        ws = re.findall(r"[^\W\d_½]+", (t or "").lower())
+        assert got[i].held_out == held[i]
+        if not ws:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        mean = sum(m.forward(w) for w in ws) / len(ws)
+        best = max(range(2), key=lambda c: mean[c])
+        assert got[i].lang_pred == m.langs[best] and abs(got[i].score - 1 / sum(math.exp(x - mean[best]) for x in mean)) < 1e-9
