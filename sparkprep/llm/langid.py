@@ -17,21 +17,20 @@ without labelled rows everything is ``und``; an empty table gives no rows; other
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ._common import fresh
 
-CACHE = 700_000
+CACHE = 500_000
 _MARK = "▁"
-# letters (category L): word characters without the numbers, of which there are more kinds than \d
-_TOKEN = re.compile(f"[^\\W_{''.join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha())}]+")
+_TOKEN = regex.compile(r"\p{L}+")
 SHORT = 40  # longer words are worked on one by one, in logarithms
 
 

@@ -6,8 +6,10 @@ cost divided by what it is expected to hold, never less than the item. Finally e
 capacity that holds its contents. The expected fill is what couples the sizes, so each shard is packed under every
 fill rate of ``fills`` and the packing of least total cost, after shrinking, is taken.
 
-Items longer than the largest capacity are cut into pieces of that capacity; nothing is dropped. Shards of about
-``shard_items`` items are packed independently: only (id, position, length) is shuffled, by a hash that spreads equal ids.
+Items are documents as token ids with an end id. Those longer than the largest capacity are cut into pieces of that
+capacity; nothing is dropped. Shards of about ``shard_items`` items are packed independently: only (id, position, length) is
+shuffled, by a hash that spreads equal ids, into one partition a shard. ``pack_documents`` says where every piece goes;
+``packed_sequences`` also moves the ids there and gives the sequences.
 
 Defined results: a null or empty text is its end token alone; null ids and repeated rows are items like others; an empty
 table gives no rows; further columns are ignored.
@@ -17,9 +19,14 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+
+from ._common import stage
+from .token_store import Encoder, default_tokenizer
 
 CAPACITIES = (1024, 2048, 4096, 8192, 16384)
 PLACED = "doc_id long, piece int, piece_start long, piece_len long, bin_id long, bin_size long, bin_start long"
@@ -74,28 +81,74 @@ def pack(lengths: list[int], capacities=CAPACITIES, cost=default_cost, fills=(0.
     return best[1], best[2]
 
 
-def pack_documents(docs: DataFrame, id_col="doc_id", length=None, capacities=CAPACITIES, cost=default_cost, shard_items=50_000) -> DataFrame:
-    """Where every piece of every document goes (``PLACED``). ``length``: tokens with the end id, as a Column."""
+def token_count(text: Column, tokenizer: str | None = None) -> Column:
+    """How many ids a text has, with its end id."""
+    path = tokenizer or default_tokenizer()
+
+    def count(text: pa.Array) -> pa.Array:
+        return pa.concat_arrays([pa.array([], pa.int64()), *(pa.array(size + 1) for _, _, size in Encoder.of(path).encode_chunks(text))])
+
+    return arrow_udf(count, "bigint").asNondeterministic()(text)
+
+
+def token_ids(text: Column, tokenizer: str | None = None, end_id=0) -> Column:
+    """The ids of a text and an end id."""
+    path = tokenizer or default_tokenizer()
+
+    def encode(text: pa.Array) -> pa.Array:
+        parts = [pa.array([], pa.list_(pa.int32()))]
+        for _, ids, size in Encoder.of(path).encode_chunks(text, end_id):
+            parts.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(ids, pa.int32())))
+        return pa.concat_arrays(parts)
+
+    return arrow_udf(encode, "array<int>").asNondeterministic()(text)
+
+
+def _place(rows: DataFrame, n_rows: int, capacities, cost, shard_items: int) -> DataFrame:
+    """``PLACED`` and ``row`` of rows (row, doc_id, n)."""
     top = max(capacities)
-    length = F.octet_length(F.coalesce(F.col("text"), F.lit(""))) + 1 if length is None else length
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.greatest(F.lit(1), length).cast("long").alias("n"))
-    shards = max(1, -(-docs.count() // shard_items))
-    spread = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(shards)).alias("shard")
+    shards = max(1, -(-n_rows // shard_items))
+    spread = F.pmod(F.xxhash64("doc_id", "row"), F.lit(shards)).alias("shard")
     starts = F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(top).cast("long"))
-    pieces = rows.select("doc_id", "n", spread, F.posexplode(starts).alias("piece", "piece_start"))
-    pieces = pieces.select("shard", "doc_id", "piece", "piece_start", F.least(F.col("n") - F.col("piece_start"), F.lit(top)).alias("piece_len"))
+    pieces = rows.select("row", "doc_id", "n", spread, F.posexplode(starts).alias("piece", "piece_start"))
+    pieces = pieces.select("shard", "row", "doc_id", "piece", "piece_start", F.least(F.col("n") - F.col("piece_start"), F.lit(top)).alias("piece_len"))
 
     def place(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
-        table = table.sort_by([("piece_len", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        table = table.sort_by([("piece_len", "descending"), ("doc_id", "ascending"), ("row", "ascending"), ("piece", "ascending")])
         placed, sizes = pack(table["piece_len"].to_pylist(), capacities, cost)
-        cols = [table[c] for c in ("doc_id", "piece", "piece_start", "piece_len")]
+        names = ["row", "doc_id", "piece", "piece_start", "piece_len"]
+        cols = [table[c] for c in names]
         cols += [pa.array([(shard << 40) + b for b, _ in placed], pa.int64()), pa.array([sizes[b] for b, _ in placed], pa.int64()), pa.array([at for _, at in placed], pa.int64())]
-        return pa.table(cols, names=["doc_id", "piece", "piece_start", "piece_len", "bin_id", "bin_size", "bin_start"])
+        return pa.table(cols, names=[*names, "bin_id", "bin_size", "bin_start"])
+
+    # an explicit number of partitions, as shards are small but take their time
+    return pieces.repartition(shards, "shard").groupBy("shard").applyInArrow(place, "row long, " + PLACED)
+
+
+def pack_documents(docs: DataFrame, id_col="doc_id", text_col="text", length: Column | None = None, capacities=CAPACITIES, cost=default_cost, shard_items=50_000, tokenizer: str | None = None) -> DataFrame:
+    """Where every piece of every document goes (``PLACED``). ``length``: tokens with the end id, if not those of the tokenizer."""
+    n = token_count(F.col(f"`{text_col}`"), tokenizer) if length is None else F.greatest(F.lit(1), length).cast("long")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), n.alias("n"))
+    return _place(rows, docs.count(), capacities, cost, shard_items).drop("row")
+
+
+def packed_sequences(docs: DataFrame, id_col="doc_id", text_col="text", capacities=CAPACITIES, cost=default_cost, shard_items=50_000, tokenizer: str | None = None, end_id=0) -> DataFrame:
+    """The sequences themselves, a row each: bin_id, bin_size, n_tokens, ids (of all pieces, in place), doc_ids and piece_starts
+    (of the pieces) and bin_starts (where each piece begins). A sequence is filled to ``bin_size`` by its reader.
 
-    return pieces.groupBy("shard").applyInArrow(place, PLACED)
+    Texts are encoded once, into a table in the shared folder, as ids must not be made anew where a task is repeated.
+    """
+    ids = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), token_ids(F.col(f"`{text_col}`"), tokenizer, end_id).alias("ids"))
+    ids = stage(ids.withColumn("n", F.size("ids").cast("long")))
+    placed = _place(ids.select("row", "doc_id", "n"), ids.count(), capacities, cost, shard_items)
+    pieces = placed.join(ids.select(F.col("row").alias("of"), "ids"), F.col("row") == F.col("of"))
+    part = F.slice("ids", (F.col("piece_start") + 1).cast("int"), F.col("piece_len").cast("int"))
+    pieces = pieces.select("bin_id", "bin_size", F.struct("bin_start", "doc_id", "piece_start", part.alias("ids")).alias("p"))
+    bins = pieces.groupBy("bin_id", "bin_size").agg(F.array_sort(F.collect_list("p")).alias("p"))  # the largest capacity bounds a group
+    return bins.select("bin_id", "bin_size", F.size(F.flatten("p.ids")).cast("long").alias("n_tokens"), F.flatten("p.ids").alias("ids"), F.col("p.doc_id").alias("doc_ids"), F.col("p.piece_start").alias("piece_starts"), F.col("p.bin_start").alias("bin_starts"))
 
 
 def op1_best_fit_packing(spark, sf_dir):
-    """Packs whole documents as byte-level tokens (one id a UTF-8 byte, and an end id)."""
+    """Where whole documents go, as ids of the 50k byte-level vocabulary with an end id."""
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 
 from ._common import NULL_KEY, cut, fresh_dir, id_key, open_fs
 
-CACHE = 1_000_000
+CACHE = 500_000
 KEEP = 64  # bytes of the longest piece that is remembered
-CHUNK = 8 << 20  # bytes of text that are encoded at once
+CHUNK = 4 << 20  # bytes of text that are encoded at once
 _MAGIC = b"RPR1"
 _encoders: dict[str, "Encoder"] = {}
 _SPACE = np.zeros(256, bool)

@@ -11,6 +11,8 @@ from tokenizers import Tokenizer
 
 from sparkprep.llm import packing, token_store, url_filter, warc
 
+TOK = Tokenizer.from_file(token_store.default_tokenizer())
+
 
 # 1: packing
 
@@ -31,13 +33,39 @@ def check_packing(rows, lengths, capacities):
     assert sum(r.piece_len for r in rows) == sum(n for _, n in lengths)
 
 
+def n_tokens(text):
+    return len(TOK.encode(text or "", add_special_tokens=False).ids) + 1
+
+
 def test_packing_keeps_everything(docs, corpus, empty):
     caps = (16, 64, 256, 1024)
-    rows = packing.pack_documents(docs.withColumn("n", F.lit(1)).withColumn("shard", F.lit(0)), capacities=caps).collect()
-    check_packing(rows, [(r[0], len((r[1] or "").encode()) + 1) for r in corpus], caps)
-    assert packing.pack_documents(empty).count() == 0
-    small = packing.pack_documents(docs, capacities=caps, shard_items=10).collect()
-    check_packing(small, [(r[0], len((r[1] or "").encode()) + 1) for r in corpus], caps)
+    rows = packing.pack_documents(docs.withColumn("n", F.lit(1)).withColumn("shard", F.lit(0)).withColumn("row", F.lit(0)), capacities=caps).collect()
+    check_packing(rows, [(r[0], n_tokens(r[1])) for r in corpus], caps)
+    assert packing.pack_documents(empty).count() == 0 == packing.packed_sequences(empty).count()
+    small = packing.pack_documents(docs, capacities=caps, shard_items=10)
+    check_packing(small.collect(), [(r[0], n_tokens(r[1])) for r in corpus], caps)
+    own = packing.pack_documents(docs, length=F.octet_length("text"), capacities=caps).collect()
+    check_packing(own, [(r[0], max(1, len((r[1] or "").encode()))) for r in corpus], caps)
+
+
+def check_sequences(rows, docs, capacities):
+    """Every document's ids are there, whole and in order, and a sequence is as large as its contents need."""
+    pieces = []
+    for r in rows:
+        assert r.n_tokens == len(r.ids) and r.bin_size == min(c for c in capacities if c >= r.n_tokens)
+        ends = [*r.bin_starts[1:], r.n_tokens]
+        assert r.bin_starts[0] == 0 and all(a < b for a, b in zip(r.bin_starts, ends))
+        pieces += [(repr(i), at, tuple(r.ids[a:b])) for i, at, a, b in zip(r.doc_ids, r.piece_starts, r.bin_starts, ends)]
+    want, top = [], max(capacities)
+    for r in docs:
+        ids = (*TOK.encode(r[1] or "", add_special_tokens=False).ids, 0)
+        want += [(repr(r[0]), at, ids[at : at + top]) for at in range(0, len(ids), top)]
+    assert sorted(pieces) == sorted(want)
+
+
+def test_sequences_hold_all_ids(docs, corpus):
+    for items in (50_000, 10):
+        check_sequences(packing.packed_sequences(docs, capacities=(16, 64, 256), shard_items=items).collect(), corpus, (16, 64, 256))
 
 
 def test_best_fit_takes_the_tightest_bin():

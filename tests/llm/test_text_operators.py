@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -350,6 +351,19 @@ def test_whole_licence_texts(spark):
     assert all(got[k][n] > 0.99 for k, n in enumerate(names))
 
 
+def test_many_notices():
+    from sparkprep.llm.license_texts import TEMPLATES, VARIANTS
+
+    scanner = licenses.Scanner({k: [*([TEMPLATES[k]] if k in TEMPLATES else []), *VARIANTS.get(k, [])] for k in TEMPLATES | VARIANTS}, 0.85)
+    began = time.process_time()
+    got = scanner.scan(b"Released under the MIT License.\n" * 100_000)
+    assert Counter(n for n, *_ in got) == {"MIT-notice": 100_000} and [x[2] for x in got] == list(range(100_000)) and {d for _, d, _, _ in got} == {1.0}
+    assert time.process_time() - began < 40  # some seconds; it must not be quadratic
+    for name, texts in VARIANTS.items():
+        for text in texts[:1]:
+            assert name in {n for n, *_ in scanner.scan(("Some words.\n" + text + "\nmore words").encode())}, name
+
+
 # 10: substring dedup
 
 
