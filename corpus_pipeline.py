@@ -9,16 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkprep.llm._common import cut, fresh, fresh_dir, id_key
+from sparkprep.llm._common import cut, fresh, fresh_dir, id_key, key_filter
 from sparkprep.llm.decontaminate import find_benchmark
 from sparkprep.llm.jaccard import similar_rows
 from sparkprep.llm.langid import learn, predict
-from sparkprep.llm.packing import pack_documents
+from sparkprep.llm.packing import packed_sequences
 from sparkprep.llm.substring_dedup import dedup_corpus
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those between two languages (score under 0.5).
+    """Rejects documents without a letter and those between two languages: score under 0.5, for words of average evidence.
 
     The model learns from documents whose crc32(doc_id) mod 3 is not 1, a bounded sample of them.
     """
@@ -41,13 +41,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     key, hashed, g, h, gone, rows, row = fresh(docs, "__k", "__x", "__g", "__h", "__gone", "__rows", "__row")
     flags = similar.filter("n > 0 or id is not null").groupBy(id_key("id").alias(g), F.col("x").alias(h)).agg(F.max(lost).alias(gone), F.count("*").alias(rows))
     flags = cut(flags.filter(F.col(gone) | (F.col(rows) > 1)))
-    kept = docs.withColumn(key, id_key("doc_id")).withColumn(hashed, F.xxhash64("text"))
-    kept = kept.join(flags, (F.col(key) == F.col(g)) & (F.col(hashed) == F.col(h)), "left").filter(~F.coalesce(F.col(gone), F.lit(False)))
-    if flags.filter((F.col(rows) > 1) & ~F.col(gone)).isEmpty():  # no row that stays is there twice, so the texts needn't move again
-        return kept.select(*docs.columns)
-    once = kept.filter(F.col(rows).isNull() | (F.col(rows) == 1)).select(*docs.columns)
+    keyed = docs.withColumn(key, id_key("doc_id")).withColumn(hashed, F.xxhash64("text"))
+    flagged = key_filter(flags, g, h)(key, hashed)  # documents that it doesn't hold stay where they are
+    left = keyed.filter(~flagged).select(*docs.columns)
+    kept = keyed.filter(flagged).join(flags, (F.col(key) == F.col(g)) & (F.col(hashed) == F.col(h)), "left").filter(~F.coalesce(F.col(gone), F.lit(False)))
+    once = kept.filter(F.col(rows).isNull()).select(*docs.columns)
+    if flags.filter(~F.col(gone)).isEmpty():  # no row that stays is there twice
+        return left.union(once)
     more = kept.filter(F.col(rows) > 1).groupBy(key, hashed).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(row))
-    return once.union(more.select(f"{row}.*"))
+    return left.union(once).union(more.select(f"{row}.*"))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,20 +58,25 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     got = dedup_corpus(docs, out=out)
     text = F.when(F.col(f"{out}.n_removed") > 0, F.col(f"{out}.text")).otherwise(F.col("text"))
     got = got.filter((F.col(f"{out}.n_removed") == 0) | (F.col(f"{out}.n_removed") < F.col(f"{out}.n_words")))
-    got = got.withColumn("n_chars", F.when(F.col(f"{out}.n_removed") > 0, F.char_length(F.col(f"{out}.text")).cast("long")).otherwise(F.col("n_chars")))
+    if "n_chars" in docs.columns:
+        got = got.withColumn("n_chars", F.when(F.col(f"{out}.n_removed") > 0, F.char_length(F.col(f"{out}.text")).cast("long")).otherwise(F.col("n_chars")))
     return got.withColumn("text", text).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that hold windows of two or more benchmark items."""
+    """Rejects documents that hold a benchmark passage: 8 words in a row, or more, covered by windows of benchmark items.
+
+    One item is enough. Items of fewer words count only where, side by side, they come to as many: a few words in common
+    are no evidence.
+    """
     (out,) = fresh(docs, "match")
     found = find_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out=out)
-    return found.filter(F.size(f"{out}.items") < 2).select(*docs.columns)
+    return found.filter(~F.exists(f"{out}.spans", lambda s: s["end"] - s["start"] >= 8)).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places every document, as byte-level tokens with an end id, into sequences of permitted lengths."""
-    return pack_documents(docs)
+    """Places every document, as token ids with an end id, into sequences of permitted lengths, a row a sequence."""
+    return packed_sequences(docs)
 
 
 STAGES = [
