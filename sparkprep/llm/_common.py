@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -166,10 +167,22 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+_claimed: tuple[str, Callable[[], None]] | None = None
+
+
+def claim(owner: str | None, forget: Callable[[], None] | None = None) -> None:
+    """A Python worker serves one operator after another: whoever keeps a cache there says so, and the next one clears it."""
+    global _claimed
+    if _claimed and _claimed[0] != owner:
+        _claimed[1]()
+        _claimed = None
+    if owner and forget:
+        _claimed = (owner, forget)
+
+
 def as_bytes(values) -> list[bytes | None]:
     """UTF-8 bytes of an Arrow string array; null stays None."""
-    import pyarrow as pa
-
+    claim(None)
     return values.cast(pa.binary() if pa.types.is_string(values.type) else pa.large_binary()).to_pylist()
 
 

@@ -52,7 +52,7 @@ def least_overlap(size, percent: int):
     return -(-percent * size // 100)
 
 
-def frequent_shingles(docs: DataFrame, text_col: str, n: int, max_frequent: int, chunk=3_000_000) -> tuple[np.ndarray, np.ndarray]:
+def frequent_shingles(docs: DataFrame, text_col: str, n: int, max_frequent: int, chunk=2_000_000) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles (sorted hashes) and the base-2 logarithm of their counts."""
 
     def count(batches):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ._common import fresh
+from ._common import claim, fresh
 
 CACHE = 500_000
 _MARK = "▁"
@@ -63,6 +63,9 @@ class PieceModel:
     def __getstate__(self):
         return {"langs": self.langs, "pieces": self.pieces, "probs": self.probs, "unknown": self.unknown, "_rows": None, "_cache": {}, "_scores": None}
 
+    def forget(self) -> None:
+        self._rows, self._cache, self._scores = None, {}, None
+
     def forward_many(self, words: list[str]) -> np.ndarray:
         """``forward`` of many words at once: words of one length share the steps of the recursion."""
         rows, longest = self.row_numbers(), self.longest
@@ -308,6 +311,7 @@ def predict(docs: DataFrame, model: PieceModel, text_col="text", out="language")
     @arrow_udf("struct<lang:string,score:double>")
     def identify(text: pa.Array) -> pa.Array:
         m = shared.value
+        claim("words", m.forget)
         texts = [t or "" for t in text.to_pylist()]
         lang, score = [], []
         for s, n in zip(*m.score_many(texts)):

@@ -92,16 +92,24 @@ def token_count(text: Column, tokenizer: str | None = None) -> Column:
 
 
 def token_ids(text: Column, tokenizer: str | None = None, end_id=0) -> Column:
-    """The ids of a text and an end id."""
+    """The ids of a text and an end id, two bytes each."""
     path = tokenizer or default_tokenizer()
 
     def encode(text: pa.Array) -> pa.Array:
-        parts = [pa.array([], pa.list_(pa.int32()))]
+        parts = [pa.array([], pa.binary())]
         for _, ids, size in Encoder.of(path).encode_chunks(text, end_id):
-            parts.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(ids, pa.int32())))
+            ends = np.concatenate(([0], np.cumsum(2 * size))).astype(np.int32)
+            parts.append(pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u2"))]))
         return pa.concat_arrays(parts)
 
-    return arrow_udf(encode, "array<int>").asNondeterministic()(text)
+    return arrow_udf(encode, "binary").asNondeterministic()(text)
+
+
+def _numbers(parts: pa.Array) -> pa.Array:
+    """The ids of each list of pieces, as integers."""
+    rows = [np.frombuffer(b"".join(x), "<u2") for x in parts.to_pylist()]
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in rows]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, "<u2"), *rows]).astype(np.int32)))
 
 
 def _place(rows: DataFrame, n_rows: int, capacities, cost, shard_items: int) -> DataFrame:
@@ -140,13 +148,14 @@ def packed_sequences(docs: DataFrame, id_col="doc_id", text_col="text", capaciti
     Texts are encoded once, into a table in the shared folder, as ids must not be made anew where a task is repeated.
     """
     ids = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), token_ids(F.col(f"`{text_col}`"), tokenizer, end_id).alias("ids"))
-    ids = stage(ids.withColumn("n", F.size("ids").cast("long")))
+    ids = stage(ids.withColumn("n", (F.octet_length("ids") / 2).cast("long")))
     placed = _place(ids.select("row", "doc_id", "n"), ids.count(), capacities, cost, shard_items)
     pieces = placed.join(ids.select(F.col("row").alias("of"), "ids"), F.col("row") == F.col("of"))
-    part = F.slice("ids", (F.col("piece_start") + 1).cast("int"), F.col("piece_len").cast("int"))
+    part = F.substring("ids", 2 * F.col("piece_start").cast("int") + 1, 2 * F.col("piece_len").cast("int"))
     pieces = pieces.select("bin_id", "bin_size", F.struct("bin_start", "doc_id", "piece_start", part.alias("ids")).alias("p"))
     bins = pieces.groupBy("bin_id", "bin_size").agg(F.array_sort(F.collect_list("p")).alias("p"))  # the largest capacity bounds a group
-    return bins.select("bin_id", "bin_size", F.size(F.flatten("p.ids")).cast("long").alias("n_tokens"), F.flatten("p.ids").alias("ids"), F.col("p.doc_id").alias("doc_ids"), F.col("p.piece_start").alias("piece_starts"), F.col("p.bin_start").alias("bin_starts"))
+    bins = bins.select("bin_id", "bin_size", arrow_udf(_numbers, "array<int>").asNondeterministic()("p.ids").alias("ids"), F.col("p.doc_id").alias("doc_ids"), F.col("p.piece_start").alias("piece_starts"), F.col("p.bin_start").alias("bin_starts"))
+    return bins.select("bin_id", "bin_size", F.size("ids").cast("long").alias("n_tokens"), "ids", "doc_ids", "piece_starts", "bin_starts")
 
 
 def op1_best_fit_packing(spark, sf_dir):

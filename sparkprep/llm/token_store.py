@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import NULL_KEY, cut, fresh_dir, id_key, open_fs
+from ._common import NULL_KEY, claim, cut, fresh_dir, id_key, open_fs
 
 CACHE = 500_000
 KEEP = 64  # bytes of the longest piece that is remembered
@@ -163,6 +163,7 @@ class Encoder:
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
+        claim("ids", _encoders.clear)
         if path not in _encoders:
             _encoders[path] = cls(path)
         return _encoders[path]
