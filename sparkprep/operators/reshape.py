@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import runpy
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
@@ -18,7 +19,9 @@ from ..plans.paths import leaves, melt, quoted, values
 from ..sources.readers import read
 from ..sources.records import merged, row, type_of, union
 from ..sources.writers import flat_texts, write
+from ..session import materialised
 from .select import field_list, project
+from .select import skip as skip_rows
 
 
 def flatten(df: DataFrame, filter: str | None = None) -> DataFrame:  # noqa: A002
@@ -34,12 +37,12 @@ def flatten_columns(df: DataFrame) -> DataFrame:
 def with_chunks(df: DataFrame, size: int, order: list[str], filter: str | None = None) -> DataFrame:  # noqa: A002
     """A column ``chunk`` (1, 2, ...): ``size`` rows each in the given order, counted over the rows that pass the filter.
 
-    Ranks are global without a global window: rows are range-sorted into partitions, only the partitions' sizes go to
-    the driver, and each row adds its rank within its partition.
+    Ranks are global without a global window: rows are range-sorted into partitions and written once (ranges come from a sample, and
+    another pass might draw another one), only the partitions' sizes go to the driver, and each row adds its rank within its partition.
     """
     spark = df.sparkSession
     df = apply_filter(df, filter)
-    part = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    part = materialised(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()))
     sizes = part.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).orderBy("__part").collect()
     before, total = {}, 0
     for r in sizes:
@@ -65,6 +68,7 @@ def split(df: DataFrame, path: str, fmt: str = "jsonl", fields: str | list[str]
     names = field_list(fields)
     if names:
         keyed, key = with_value_key(df, names[0], filter), "part"
+        keyed = keyed.repartition("part", F.pmod(F.xxhash64(*[quoted(c) for c, t in df.dtypes if "map<" not in t and t != "variant"]), F.lit(16)))  # few files a value, and a common one is spread
     else:
         keyed, key = with_chunks(df, size, order or df.columns[:1], filter), "chunk"
     w = keyed.write.mode("overwrite").partitionBy(key)
@@ -144,15 +148,29 @@ def _format(path: str) -> str | None:
 
 
 class Sink(Protocol):
-    """Where batches of records go. Made inside the task that uses it."""
+    """Where batches of records go. ``put`` runs in tasks; a task that is repeated sends the same keys again."""
 
     def prepare(self, drop: bool) -> None: ...
 
-    def put(self, batch: list[dict]) -> None: ...
+    def put(self, batch: list[dict], keys: list[str]) -> None: ...
+
+
+class _Client:
+    """Makes its client once a process, and is sent to tasks without it."""
+
+    _made = None
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_made"}
+
+    def client(self):
+        if self._made is None:
+            self._made = self.connect()
+        return self._made
 
 
 class LocalJsonSink:
-    """JSON lines in a folder, one file a batch; a stand-in for a database in tests."""
+    """JSON lines in a local folder, one file a batch; a stand-in for a database, for local runs."""
 
     def __init__(self, folder: str):
         self.folder = folder
@@ -163,53 +181,58 @@ class LocalJsonSink:
             for name in os.listdir(self.folder):
                 os.remove(os.path.join(self.folder, name))
 
-    def put(self, batch: list[dict]) -> None:
-        import uuid
-
-        with open(os.path.join(self.folder, f"{uuid.uuid4().hex}.jsonl"), "w") as f:
+    def put(self, batch: list[dict], keys: list[str]) -> None:
+        with open(os.path.join(self.folder, f"{keys[0]}.jsonl"), "w") as f:
             f.writelines(json.dumps(r, ensure_ascii=False, default=str) + "\n" for r in batch)
 
 
-class MongoSink:
-    """Inserts into a MongoDB collection; needs pymongo."""
+class MongoSink(_Client):
+    """Inserts into a MongoDB collection; needs pymongo. What is there already, from an earlier try of a task, is left alone."""
 
     def __init__(self, uri: str, db: str, table: str):
         self.uri, self.db, self.table = uri, db, table
 
-    def _collection(self):
+    def connect(self):
         from pymongo import MongoClient
 
-        return MongoClient(self.uri)[self.db][self.table]
+        return MongoClient(self.uri)
 
     def prepare(self, drop: bool) -> None:
         if drop:
-            self._collection().drop()
+            self.client()[self.db][self.table].drop()
 
-    def put(self, batch: list[dict]) -> None:
-        self._collection().insert_many(batch)
+    def put(self, batch: list[dict], keys: list[str]) -> None:
+        try:
+            self.client()[self.db][self.table].insert_many([{"_id": k} | r for k, r in zip(keys, batch)], ordered=False)
+        except Exception as e:
+            errors = (getattr(e, "details", None) or {}).get("writeErrors")
+            if not errors or any(x.get("code") != 11000 for x in errors):
+                raise
 
 
-class ElasticSink:
-    """Bulk indexing into Elasticsearch with certificates verified; needs the elasticsearch client."""
+class ElasticSink(_Client):
+    """Bulk indexing into Elasticsearch with certificates verified; needs the elasticsearch client. Refused documents are an error."""
 
     def __init__(self, uri: str, index: str, api_key: str | None = None, doc_id: str | None = None, pipeline: str | None = None):
         self.uri, self.index, self.api_key, self.doc_id, self.pipeline = uri, index, api_key, doc_id, pipeline
 
-    def _client(self):
+    def connect(self):
         from elasticsearch import Elasticsearch
 
         return Elasticsearch(self.uri, api_key=self.api_key)
 
     def prepare(self, drop: bool) -> None:
         if drop:
-            self._client().indices.delete(index=self.index, ignore_unavailable=True)
+            self.client().indices.delete(index=self.index, ignore_unavailable=True)
 
-    def put(self, batch: list[dict]) -> None:
+    def put(self, batch: list[dict], keys: list[str]) -> None:
         ops: list[dict] = []
-        for r in batch:
-            at = {"_index": self.index} | ({"_id": r[self.doc_id]} if self.doc_id else {})
-            ops += [{"index": at}, r]
-        self._client().bulk(operations=ops, pipeline=self.pipeline)
+        for k, r in zip(keys, batch):
+            ops += [{"index": {"_index": self.index, "_id": r[self.doc_id] if self.doc_id else k}}, r]
+        got = self.client().bulk(operations=ops, pipeline=self.pipeline)
+        if got.get("errors"):
+            bad = [x["index"] for x in got["items"] if x["index"].get("error")]
+            raise RuntimeError(f"{len(bad)} of {len(batch)} documents refused, the first: {bad[0]}" if bad else "the bulk request failed")
 
 
 def _batches(rows: Iterable, n: int) -> Iterator[list[dict]]:
@@ -226,11 +249,16 @@ def _batches(rows: Iterable, n: int) -> Iterator[list[dict]]:
 def ingest(df: DataFrame, sink: Sink, batch: int = 1000, skip: int = 0, order: list[str] | None = None, drop: bool = False) -> None:
     """Send all records but the first ``skip`` to the sink, in batches, from the tasks that hold them."""
     if skip:
-        df = (df.orderBy(*order) if order else df).offset(skip)
+        df = skip_rows(df, skip, order)
     sink.prepare(drop)
+    run = uuid.uuid4().hex[:12]
 
     def send(rows: Iterator) -> None:
-        for part in _batches(rows, batch):
-            sink.put(part)
+        from pyspark import TaskContext
+
+        part, n = TaskContext.get().partitionId(), 0
+        for some in _batches(rows, batch):
+            sink.put(some, [f"{run}-{part:05d}-{n + k:09d}" for k in range(len(some))])
+            n += len(some)
 
     df.foreachPartition(send)

@@ -121,8 +121,11 @@ def schema_key(names: list[str]) -> str:
     return xxhash.xxh64("|".join(sorted(names)).encode()).hexdigest()
 
 
-def analyze(spark: SparkSession, path: str, limit: int | None = 10_000, exact: bool = False, describe_table: Callable[[dict], str] | None = None, **options) -> dict:
-    """Report on one file: type, codec, encoding and, for each table in it, records, fields, types and distinct counts."""
+def analyze(spark: SparkSession, path: str, limit: int | None = None, exact: bool = False, describe_table: Callable[[dict], str] | None = None, **options) -> dict:
+    """Report on one file: type, codec, encoding and, for each table in it, records, fields, types and distinct counts.
+
+    ``limit``: distinct counts of so many records only, where that is enough; the number of records is always that of all.
+    """
     fmt = options.pop("fmt", None) or format_of(path)
     report: dict = {"filename": os.path.basename(path.rstrip("/")), "file_size": _size(path), "file_type": fmt, "compression": codec_of(path), "tables": [], "error": None}
     try:

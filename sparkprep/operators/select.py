@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.filterlang import apply_filter
-from ..plans.paths import PathError, path_type, project
+from ..plans.paths import PathError, path_type, project, quoted, values
 from ..plans.recordlang import compile_query, truthy
+from ..session import materialised
 
 
 def field_list(fields: str | list[str] | None) -> list[str]:
@@ -52,6 +54,19 @@ def query_column(df: DataFrame, expression: str, name: str = "result") -> DataFr
     return df.withColumn(name, compile_query(df, expression)[0])
 
 
+def unnest(df: DataFrame, path: str, keep: str | list[str] | None = None) -> DataFrame:
+    """One row per record of the list at ``path``, with its fields as columns, after those of the document that ``keep`` names."""
+    v = values(df, path)
+    kind, x = v.kind, v.column
+    while isinstance(kind, T.ArrayType):
+        kind, x = kind.elementType, F.flatten(F.filter(x, lambda v: v.isNotNull()))
+    if not isinstance(kind, T.StructType):
+        raise PathError(f"{path!r} holds no records")
+    names = field_list(keep)
+    rows = df.select(*[F.col(quoted(c)) for c in names], F.explode(x).alias("__record"))
+    return rows.filter("__record is not null").select(*[F.col(quoted(c)) for c in names], "__record.*")
+
+
 def total(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total"))
 
@@ -62,5 +77,23 @@ def sample(df: DataFrame, n: int = 200, order: list[str] | None = None) -> DataF
 
 
 def skip(df: DataFrame, n: int, order: list[str] | None = None) -> DataFrame:
-    """All but the first n records."""
-    return (df.orderBy(*order) if order else df).offset(n) if n else df
+    """All but the first n records, in the given order or that of the source.
+
+    Rows keep their partitions: only the partitions' sizes reach the driver, and one comparison with the row's number drops the
+    first n. With an order, rows are range-sorted and written once, so that counting and reading see the same partitions.
+    """
+    if not n:
+        return df
+    if order:
+        df = materialised(df.repartitionByRange(*order).sortWithinPartitions(*order))
+    part, row = (next(c for k in range(len(df.columns) + 1) if (c := f"{name}{k or ''}") not in df.columns) for name in ("__part", "__row"))
+    sizes = df.select(F.spark_partition_id().alias(part)).groupBy(part).agg(F.count(F.lit(1)).alias("n")).orderBy(part).collect()
+    at, before = None, 0
+    for r in sizes:
+        if before + r["n"] > n:
+            at = (r[part] << 33) + n - before  # how monotonically_increasing_id numbers rows
+            break
+        before += r["n"]
+    if at is None:
+        return df.filter(F.lit(False))
+    return df.withColumn(row, F.monotonically_increasing_id()).filter(F.col(row) >= at).drop(row)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import bz2
+import gzip
+import json
+import lzma
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,7 +54,7 @@ def nested_events(spark: SparkSession, d: str) -> DataFrame:
 # Projection and filters
 _add("select_fields", "orders", lambda df: sel.select(df, "o_orderkey,o_orderpriority"), "SELECT o_orderkey, o_orderpriority FROM orders")
 _add("select_filter", "orders", lambda df: sel.select(df, ["o_orderkey", "o_totalprice"], "`o_orderstatus` == 'F' AND `o_totalprice` > 100000"), "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000")
-_add("filter_like", "part", lambda df: sel.select(df, "p_partkey,p_name", "p_name LIKE '*1?*'"), "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%1_%'")
+_add("filter_like", "part", lambda df: sel.select(df, "p_partkey,p_name", "p_name LIKE '*a?*'"), "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%a_%'")
 _add("filter_in", "customer", lambda df: sel.select(df, "c_custkey", "c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey in (1, 2, 3)"), "SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey IN (1, 2, 3)")
 _add("filter_contains", "events", lambda df: sel.select(df, "event_id", "props CONTAINS '\"k\": 6'"), "SELECT event_id FROM events WHERE contains(props, '\"k\": 6')")
 _add("filter_match", "customer", lambda df: sel.select(df, "c_custkey,c_name", "c_name MATCH /Customer#0+1\\d*$/"), "SELECT c_custkey, c_name FROM customer WHERE regexp_matches(c_name, '^(?:Customer#0+1[0-9]*$)')")
@@ -184,10 +189,35 @@ def _(spark, d):
     return schema.candidate_sizes(turns(spark, d))
 
 
-@_query("schema_key", "SELECT 'region' AS name, 'f9b8' IS NOT NULL AS same")
+@_query("schema_key", "SELECT * FROM (VALUES ('region', '2dc2cfd3f2da6368', true), ('nation', 'b6fe73d71ee5f7a5', true)) t(name, key, same)")
 def _(spark, d):
-    names = _t(spark, d, "region").columns
-    return spark.createDataFrame([("region", schema.schema_key(names) == schema.schema_key(names[::-1]))], "name string, same boolean")
+    names = {t: _t(spark, d, t).columns for t in ("region", "nation")}
+    return spark.createDataFrame([(t, schema.schema_key(c), schema.schema_key(c) == schema.schema_key(c[::-1])) for t, c in names.items()], "name string, key string, same boolean")
+
+
+@_query("analyze_file", "SELECT name, n_unique, count AS num_records, uniq_share FROM (" + _analyze_sql("customer", _CUSTOMER) + ")")
+def _(spark, d):
+    report = schema.analyze(spark, f"{d}/customer.parquet", exact=True)
+    rows = [(f["name"], f["n_unique"], t["num_records"], f["uniq_share"]) for t in report["tables"] for f in t["fields"]]
+    return spark.createDataFrame(rows, "name string, n_unique long, num_records long, uniq_share string")
+
+
+@_query("schema_bulk", "SELECT * FROM (VALUES ('nation', 3), ('region', 2)) t(name, num_cols)")
+def _(spark, d):
+    found = schema.schema_bulk(spark, f"{d}/*ion.parquet")
+    return spark.createDataFrame([(os.path.basename(f).split(".")[0], s["num_cols"]) for s in found for f in s["files"]], "name string, num_cols int")
+
+
+@_query("build_schema", _schema_sql([("event_id", "BIGINT", False), ("who", "STRUCT", False), ("who.user_id", "BIGINT", False), ("who.what", "STRUCT", False), ("who.what.event_type", "VARCHAR", False), ("who.what.value", "DOUBLE", False), ("props", "STRUCT", False), ("props.k", "BIGINT", False)]))
+def _(spark, d):
+    return schema.describe(nested_events(spark, d))
+
+
+@_query("merge_schemes", "SELECT * FROM (VALUES ('a', 'integer', 'field'), ('b', 'dict', 'nested'), ('b.c', 'string', 'field'), ('b.d', 'float', 'field'), ('e', 'list of [string]', 'field')) t(name, type, class)")
+def _(spark, d):
+    one, two = schema.record_scheme({"a": 1, "b": {"c": "x"}}), schema.record_scheme({"a": "later", "b": {"d": 0.5}, "e": ["y"]})
+    rows = schema.scheme_fields(schema.merge_schemes(one, two))
+    return spark.createDataFrame([(r["name"], r["type"], r["class"]) for r in rows], "name string, type string, class string")
 
 
 # Validation
@@ -248,11 +278,12 @@ _add("skip_rows", "customer", lambda df: sel.skip(df, 100, ["c_custkey"]), "SELE
 
 # Conversions: written and read again
 def _folder(spark: SparkSession, name: str) -> str:
-    import tempfile
     import uuid
 
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkprep-")
-    base = base if "://" in base or not base.startswith("file:") else "file://" + base[5:]
+    from .session import shared_dir
+
+    base = shared_dir(spark)
+    base = "file://" + base[5:] if base.startswith("file:/") and not base.startswith("file://") else base
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -276,6 +307,161 @@ for _fmt in ("csv", "jsonl", "parquet", "orc", "xml", "bson", "avro"):
     ORACLE[f"convert_{_fmt}"] = "SELECT * FROM nation"
 
 
+def _local(path: str) -> str:
+    return path.removeprefix("file://")
+
+
+def _converted(table: str, first: str, second: str, make: Callable[[DataFrame], DataFrame] | None = None, **options) -> Callable[[SparkSession, str], DataFrame]:
+    """The table written as one format, converted to another, and read."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        from .sources import read, write
+
+        df = make(_t(spark, d, table)) if make else _t(spark, d, table)
+        at, to = f"{_folder(spark, 'convert')}.{first}", f"{_folder(spark, 'convert')}.{second}"
+        write(df, at, first)
+        reshape.convert(spark, at + ("/part-*" if first in ("bson", "avro") else ""), to, first, second, infer_types=False, **({"tag": "row"} if first == "xml" else {}), **options)
+        got = read(spark, to + ("/part-*" if second in ("bson", "avro") else ""), second, **({"tag": "row"} if second == "xml" else {}))
+        return got.select(*[F.col(f"`{c}`").cast(df.schema[c].dataType).alias(c) for c in df.columns])
+
+    return run
+
+
+for _a, _b in (("csv", "parquet"), ("jsonl", "csv"), ("parquet", "jsonl"), ("csv", "avro"), ("jsonl", "bson"), ("bson", "csv"), ("orc", "xml"), ("avro", "orc"), ("xml", "jsonl")):
+    QUERIES[f"convert_{_a}_{_b}"] = _converted("orders", _a, _b, lambda df: df.select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"))
+    ORACLE[f"convert_{_a}_{_b}"] = "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders"
+
+
+@_query("convert_nested", 'SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, CAST(value AS VARCHAR) AS value FROM events')
+def _(spark, d):
+    """Nested JSON lines to flat CSV."""
+    from .sources import read, write
+
+    at, to = f"{_folder(spark, 'nested')}.jsonl", f"{_folder(spark, 'flat')}.csv"
+    write(nested_events(spark, d), at, "jsonl")
+    reshape.convert(spark, at, to, flatten=True)
+    return read(spark, to, delimiter=",", encoding="utf-8").select(F.col("event_id").cast("long").alias("event_id"), F.col("`who.user_id`").alias("user_id"), F.col("`who.what.value`").alias("value"))
+
+
+@_query("flatten_columns", "SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id, event_type, json_extract_string(props, '$.k') AS k FROM events")
+def _(spark, d):
+    flat = reshape.flatten_columns(nested_events(spark, d))
+    return flat.select(F.col("event_id").cast("string").alias("event_id"), F.col("`who.user_id`").cast("string").alias("user_id"), F.col("`who.what.event_type`").alias("event_type"), F.col("`props.k`").cast("string").alias("k"))
+
+
+@_query("unnest", "SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations")
+def _(spark, d):
+    return sel.unnest(turns(spark, d), "turns", "conv_id").withColumn("turn", F.col("turn").cast("long"))
+
+
+def _files(spark: SparkSession, d: str, name: str, data: Callable[[list[list[str]]], bytes]) -> str:
+    """One file of the nation table as made by other programs."""
+    at = _local(_folder(spark, "file")) + name
+    rows = [[str(v) for v in r] for r in _t(spark, d, "nation").orderBy("n_nationkey").collect()]
+    os.makedirs(os.path.dirname(at), exist_ok=True)
+    with open(at, "wb") as f:
+        f.write(data([["n_nationkey", "n_name", "n_regionkey"], *rows]))
+    return at
+
+
+def _delimited(rows: list[list[str]], sep: str = ",") -> bytes:
+    return "".join(sep.join(r) + "\n" for r in rows).encode()
+
+
+def _zipped(data: bytes) -> bytes:
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("table.csv", data)
+    return out.getvalue()
+
+
+def _zstd(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor().compress(data)
+
+
+def _nation(df: DataFrame) -> DataFrame:
+    return df.select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("int").alias("n_regionkey"))
+
+
+_NATION = "SELECT CAST(n_nationkey AS INTEGER) AS n_nationkey, n_name, CAST(n_regionkey AS INTEGER) AS n_regionkey FROM nation"
+
+
+def _read_file(name: str, make: Callable[[list[list[str]]], bytes], sql: str = _NATION, **options) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        from .sources import read
+
+        return _nation(read(spark, _files(spark, d, name, make), **options))
+
+    return run
+
+
+for _ext, _pack in (("gz", gzip.compress), ("bz2", bz2.compress), ("xz", lzma.compress), ("zip", _zipped), ("zst", _zstd)):
+    QUERIES[f"read_csv_{_ext}"] = _read_file(f".csv.{_ext}", lambda rows, pack=_pack: pack(_delimited(rows)))
+    ORACLE[f"read_csv_{_ext}"] = _NATION
+for _name, _sep in (("semicolon", ";"), ("tab", "\t"), ("pipe", "|")):
+    QUERIES[f"detect_{_name}"] = _read_file(".csv", lambda rows, sep=_sep: _delimited(rows, sep))
+    ORACLE[f"detect_{_name}"] = _NATION
+for _name, _enc, _tail in (("cp1251", "cp1251", "страна"), ("latin1", "latin-1", "é à"), ("utf16", "utf-16", "日本")):
+    QUERIES[f"detect_{_name}"] = _read_file(".csv", lambda rows, enc=_enc, tail=_tail: _delimited([rows[0], *([a, b + " " + tail, c] for a, b, c in rows[1:])]).decode().encode(enc))
+    ORACLE[f"detect_{_name}"] = _NATION.replace("n_name,", f"n_name || ' {_tail}' AS n_name,")
+QUERIES["read_json_document"] = _read_file(".json", lambda rows: json.dumps({"about": "x", "rows": [dict(zip(rows[0], r)) for r in rows[1:]]}).encode(), tag="rows")
+QUERIES["read_csv_fields"] = _read_file(".csv", lambda rows: _delimited(rows[1:]), fields=["n_nationkey", "n_name", "n_regionkey"])
+ORACLE |= {"read_json_document": _NATION, "read_csv_fields": _NATION}
+
+
+@_query("read_xlsx", _NATION)
+def _(spark, d):
+    from .sources import read, write
+
+    at = _local(_folder(spark, "sheet")) + ".xlsx"
+    os.makedirs(os.path.dirname(at), exist_ok=True)
+    write(_t(spark, d, "nation"), at)
+    return _nation(read(spark, at))
+
+
+@_query("read_many_files", _NATION + " UNION ALL " + _NATION)
+def _(spark, d):
+    from .sources import read
+
+    return _nation(read(spark, [_files(spark, d, f"-{k}.csv", _delimited) for k in range(2)]))
+
+
+@_query("read_csv_lines", "SELECT o_orderkey, o_orderpriority || chr(10) || '\"x\", y' AS note FROM orders")
+def _(spark, d):
+    """Quoted values with line ends are found without being told."""
+    from .sources import read, write
+
+    at = f"{_folder(spark, 'lines')}.csv"
+    write(_t(spark, d, "orders").select("o_orderkey", F.concat("o_orderpriority", F.lit('\n"x", y')).alias("note")), at)
+    return read(spark, at).select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "note")
+
+
+@_query("file_types", "SELECT * FROM (VALUES ('a.csv', 'csv', NULL), ('b.TSV.gz', 'csv', 'gzip'), ('c.jsonl.zst', 'jsonl', 'zstd'), ('d.xlsx', 'xlsx', NULL), ('e.unknown', NULL, NULL)) t(name, format, codec)")
+def _(spark, d):
+    from .sources.detect import codec_of, format_of
+
+    return spark.createDataFrame([(n, format_of(n), codec_of(n)) for n in ("a.csv", "b.TSV.gz", "c.jsonl.zst", "d.xlsx", "e.unknown")], "name string, format string, codec string")
+
+
+@_query("split_files", "SELECT event_type AS part, event_id FROM events")
+def _(spark, d):
+    at = _folder(spark, "split")
+    reshape.split(_t(spark, d, "events").select("event_id", "event_type"), at, "csv", fields="event_type")
+    return spark.read.option("header", True).csv(at).select("part", F.col("event_id").cast("long").alias("event_id"))
+
+
+@_query("split_files_by_size", "SELECT CAST(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 5000) AS BIGINT) + 1 AS chunk, o_orderkey FROM orders")
+def _(spark, d):
+    at = _folder(spark, "split")
+    reshape.split(_t(spark, d, "orders").select("o_orderkey"), at, "jsonl", size=5000, order=["o_orderkey"])
+    return spark.read.json(at).select(F.col("chunk").cast("long").alias("chunk"), "o_orderkey")
+
+
 @_query("ingest_local", "SELECT r_regionkey, r_name FROM region ORDER BY r_regionkey OFFSET 2")
 def _(spark, d):
     folder = _folder(spark, "ingest").removeprefix("file://")

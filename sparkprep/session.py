@@ -38,3 +38,24 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f"{package.name}/{f.relative_to(package)}")
     sc.addPyFile(str(at))
     sc._sparkprep_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that every executor can reach: ``spark.checkpoint.dir``. A local one only where all executors are local."""
+    sc = spark.sparkContext
+    at = sc.getCheckpointDir()
+    if at is None:
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if at is None:
+            if not (sc.master or "").startswith("local[") and sc.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            at = tempfile.mkdtemp(prefix="sparkprep-")
+        sc.setCheckpointDir(at)
+        at = sc.getCheckpointDir()
+    return at
+
+
+def materialised(df):
+    """``df`` written once to the shared folder: its partitions and their order stay as they are, whatever reads it."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

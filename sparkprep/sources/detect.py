@@ -32,19 +32,30 @@ def format_of(path: str) -> str | None:
 
 
 def head(path: str, limit: int = SNIFF) -> bytes:
-    """First bytes of a local file, decompressed; b"" where the path isn't a local file."""
-    if path.startswith("file:"):
-        path = path[5:] if not path.startswith("file://") else path[7:]
-    if os.path.isdir(path):
-        parts = sorted(x for x in os.listdir(path) if not x.startswith(("_", ".")))
-        if not parts:
+    """First bytes of a file, or of a folder's first file, decompressed, on any file system that pyarrow knows; b"" if there is none."""
+    import glob
+
+    from pyarrow import fs
+
+    from .archives import decompressed
+
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path[5:]
+    if "://" in path:
+        system, at = fs.FileSystem.from_uri(path)
+    else:
+        system, at = fs.LocalFileSystem(), os.path.abspath(path)
+        if not os.path.exists(at):
+            at = next(iter(sorted(glob.glob(at))), at)
+    info = system.get_file_info(at)
+    if info.type == fs.FileType.Directory:
+        names = [x.path for x in system.get_file_info(fs.FileSelector(at)) if x.is_file and not x.base_name.startswith(("_", "."))]
+        if not names:
             return b""
-        path = os.path.join(path, parts[0])
-    if not os.path.isfile(path):
+        at = min(names)
+    elif info.type == fs.FileType.NotFound:
         return b""
-    from .archives import open_bytes
-
-    with open_bytes(path) as f:
+    with system.open_input_file(at) as raw, decompressed(raw, codec_of(at)) as f:
         return f.read(limit)
 
 

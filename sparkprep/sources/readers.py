@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.paths import quoted
 from . import avro, bson, office
 from .archives import UnsupportedCodec, decompressed
 from .detect import codec_of, format_of, sniff
@@ -42,11 +43,14 @@ def read(
     dynamic: bool = False,
     schema: str | T.StructType | None = None,
     ignore_errors: bool = False,
+    multiline: bool | None = None,
 ) -> DataFrame:
     """``dynamic`` reads JSON records into one column ``value`` of raw text, so that missing and null stay apart.
 
     ``delimiter`` and ``encoding`` are detected where they aren't given. ``tag``: the XML element, or the key of a JSON
     document that holds the records. ``page``: sheet or table number. An explicit ``fields`` list replaces the header.
+    ``multiline``: CSV values may hold line ends, so that files can't be split. If not given, a pass over the lines, which can be
+    split, looks for one with an open quote and stops at the first.
     """
     paths = [path] if isinstance(path, str) else list(path)
     first = paths[0]
@@ -66,11 +70,21 @@ def read(
         if encoding is None or delimiter is None:
             enc, sep = sniff(first)
             encoding, delimiter = encoding or enc, delimiter or sep
-        r = r.options(header=fields is None, sep=delimiter, encoding=encoding, inferSchema=infer_types, quote='"', escape='"', multiLine=True, mode="DROPMALFORMED" if ignore_errors else "PERMISSIVE")
+        table = _letters(encoding)
+        if table is None and _plain_name(encoding) not in _CHARSETS:
+            return _read_files(spark, paths, fmt, codec, delimiter, encoding, tag, page, start_line, fields, schema)
+        encoding = "iso-8859-1" if table else encoding
+        r = r.options(header=fields is None, sep=delimiter, encoding=encoding, inferSchema=infer_types, quote='"', escape='"', multiLine=_open_quotes(spark, paths, encoding) if multiline is None else multiline, mode="DROPMALFORMED" if ignore_errors else "PERMISSIVE")
         df = r.csv(paths)
+        if table:
+            df = df.select(*[(F.translate(x, *table) if isinstance(f.dataType, T.StringType) else x).alias(f.name.translate(str.maketrans(*table))) for f in df.schema.fields for x in [F.col(quoted(f.name))]])
         if fields is not None:
             df = df.toDF(*fields, *[f"column{k + 1}" for k in range(len(fields), len(df.columns))])
-        return df.offset(start_line) if start_line else df
+        if start_line:
+            from ..operators.select import skip
+
+            return skip(df, start_line)
+        return df
     if fmt == "jsonl":
         if dynamic:
             return r.text(paths).filter(F.trim("value") != "")
@@ -89,6 +103,38 @@ def read(
     raise UnsupportedFormat(fmt)
 
 
+_CHARSETS = {"utf-8", "utf-16", "utf-16le", "utf-16be", "utf-32", "us-ascii", "iso-8859-1"}
+
+
+def _plain_name(encoding: str) -> str:
+    name = encoding.lower().replace("_", "-")
+    return {"latin-1": "iso-8859-1", "latin1": "iso-8859-1", "utf8": "utf-8", "ascii": "us-ascii", "utf16": "utf-16"}.get(name, name)
+
+
+def _letters(encoding: str) -> tuple[str, str] | None:
+    """For an encoding of one byte a character: what its bytes are in Latin-1, and what they mean. Spark reads few encodings, so such
+    files are read as Latin-1, which keeps every byte and can be split, and their letters are replaced."""
+    if _plain_name(encoding).startswith("utf"):
+        return None
+    high = [bytes([b]) for b in range(128, 256)]
+    try:
+        if any(bytes([b]).decode(encoding) != chr(b) for b in range(128)):
+            return None
+        meant = [b.decode(encoding, errors="replace") for b in high]
+    except (LookupError, UnicodeDecodeError):
+        return None
+    multi = len(b"".join(high[64:66]).decode(encoding, errors="replace")) != 2 or sum(x == "\ufffd" for x in meant) > 40
+    return None if multi else ("".join(b.decode("latin-1") for b in high), "".join(meant))
+
+
+def _open_quotes(spark: SparkSession, paths: list[str], encoding: str) -> bool:
+    """Whether any quoted value goes over a line's end: some line then has an odd number of quotes."""
+    if encoding.lower().replace("_", "-").startswith(("utf-16", "utf-32")):
+        return True
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    return not spark.read.text(paths).filter(quotes % 2 == 1).isEmpty()
+
+
 def _records(stream, fmt, delimiter, encoding, tag, page, start_line, fields):
     """Python records of one open file."""
     if fmt == "bson":

@@ -6,6 +6,8 @@ a stream needs it (no sort, no collected sample, batches for sinks).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,10 +53,16 @@ def uniq_stream(stream: DataFrame, fields, filter: str | None = None) -> DataFra
 def ingest_stream(stream: DataFrame, sink: Sink, batch: int = 1000) -> DataStreamWriter:
     """Each micro-batch to the sink, from the tasks that hold it."""
 
-    def send(df: DataFrame, _epoch: int) -> None:
+    run = uuid.uuid4().hex[:12]
+
+    def send(df: DataFrame, epoch: int) -> None:
         def put(rows):
-            for part in _batches(rows, batch):
-                sink.put(part)
+            from pyspark import TaskContext
+
+            part, n = TaskContext.get().partitionId(), 0
+            for some in _batches(rows, batch):
+                sink.put(some, [f"{run}-{epoch:09d}-{part:05d}-{n + k:09d}" for k in range(len(some))])
+                n += len(some)
 
         df.foreachPartition(put)
 
