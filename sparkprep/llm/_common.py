@@ -8,7 +8,6 @@ followed by the same split.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -19,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from xxhash import xxh3_64_intdigest
 
+from ..session import shared_dir
+
 #: Stands for a null id inside joins, so that such rows are neither lost nor matched with each other by accident.
 NULL_KEY = -(2**63)
 
@@ -32,17 +33,6 @@ LOWER_TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _R = 0x9E3779B97F4A7C15
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor can reach: ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
-    sc = spark.sparkContext
-    at = sc.getCheckpointDir()
-    if at is None:
-        at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkprep-")
-        sc.setCheckpointDir(at)
-        at = sc.getCheckpointDir()
-    return at
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and cut its lineage; reads after the loss of an executor still work."""
     shared_dir(df.sparkSession)
