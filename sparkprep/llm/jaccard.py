@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from ._common import LOWER_TABLE, as_bytes, cut, hashes, id_key, key_filter, rolling
+from ._common import LOWER_TABLE, as_bytes, cut, hashes, id_key, in_arrow, key_filter, rolling, slices
 from .components import connected_components
 
 MAX_L = 8
@@ -113,12 +113,12 @@ def _signatures(order, n: int, percent: int):
 
 
 def _set_udf(n: int):
-    return arrow_udf(lambda text: pa.array([shingle_set(t, n).tobytes() for t in as_bytes(text)], pa.binary()), "binary").asNondeterministic()
+    return arrow_udf(lambda text: in_arrow((shingle_set(t, n).tobytes() for t in as_bytes(text)), pa.binary()), "binary").asNondeterministic()
 
 
 def _overlap(a: pa.Array, b: pa.Array) -> pa.Array:
     out = []
-    for x, y in zip(a.to_pylist(), b.to_pylist()):
+    for x, y in ((x, y) for p, q in zip(slices(a), slices(b)) for x, y in zip(p.to_pylist(), q.to_pylist())):
         out.append(len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)))
     return pa.array(out, pa.int64())
 

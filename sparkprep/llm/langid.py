@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ._common import claim, fresh
+from ._common import claim, fresh, slices
 
 CACHE = 500_000
 _MARK = "▁"
@@ -312,9 +312,8 @@ def predict(docs: DataFrame, model: PieceModel, text_col="text", out="language")
     def identify(text: pa.Array) -> pa.Array:
         m = shared.value
         claim("words", m.forget)
-        texts = [t or "" for t in text.to_pylist()]
         lang, score = [], []
-        for s, n in zip(*m.score_many(texts)):
+        for s, n in (x for part in slices(text) for x in zip(*m.score_many([t or "" for t in part.to_pylist()]))):
             if not m.langs or not n:
                 lang.append("und")
                 score.append(0.0)

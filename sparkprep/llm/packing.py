@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ._common import stage
+from ._common import give_back, stage
 from .token_store import Encoder, default_tokenizer
 
 CAPACITIES = (1024, 2048, 4096, 8192, 16384)
@@ -107,9 +107,12 @@ def token_ids(text: Column, tokenizer: str | None = None, end_id=0) -> Column:
 
 def _numbers(parts: pa.Array) -> pa.Array:
     """The ids of each list of pieces, as integers."""
-    rows = [np.frombuffer(b"".join(x), "<u2") for x in parts.to_pylist()]
-    ends = np.concatenate(([0], np.cumsum([len(x) for x in rows]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, "<u2"), *rows]).astype(np.int32)))
+    give_back(parts.nbytes)
+    pieces = parts.values  # end to end already, so nothing is made per piece
+    bounds = np.frombuffer(pieces.buffers()[1], np.int32, len(pieces) + 1, 4 * pieces.offset) if len(pieces) else np.zeros(1, np.int32)
+    ends = bounds[parts.offsets.to_numpy()] // 2
+    ids = np.frombuffer(pieces.buffers()[2] or b"", "<u2", int(ends[-1] - ends[0]), 2 * int(ends[0]))
+    return pa.ListArray.from_arrays(pa.array(ends - ends[0]), pa.array(ids.astype(np.int32)))
 
 
 def _place(rows: DataFrame, n_rows: int, capacities, cost, shard_items: int) -> DataFrame:

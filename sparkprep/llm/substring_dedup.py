@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ._common import NULL_KEY, apart, as_bytes, cut, fresh, hashes, id_key, rolling, sliding_min, stage
+from ._common import NULL_KEY, apart, as_bytes, cut, fresh, hashes, id_key, in_arrow, rolling, slices, sliding_min, stage
 
 ANCHOR = 8  # words of an anchor piece
 
@@ -158,7 +158,7 @@ def _regions(window: int, wide: bool):
     name = pa.binary() if wide else pa.int64()
 
     def cut_out(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             rows = []
             for k, text, anchors, owners in zip(batch["k"].to_pylist(), as_bytes(batch["t"]), batch["a"].to_pylist(), batch["o"].to_pylist()):
                 words = text.split()
@@ -196,7 +196,7 @@ def _match(window: int, wide: bool):
 
     def match(batches):
         owner, held, automaton = None, None, None
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             out_d, out_s, out_1, out_2 = [], [], [], []
             for o, d, first, texts, starts, shard in zip(*(batch[c].to_pylist() for c in ("o", "d", "w", "t", "starts", "shard"))):
                 if automaton is None or o != owner or shard != held:
@@ -279,9 +279,9 @@ _RESULT = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("text"
 
 
 def _remove(window: int):
-    def remove(text: pa.Array, starts: pa.Array, again: pa.Array) -> pa.Array:
-        out = []
-        for t, s, copy in zip(as_bytes(text), starts.to_pylist(), again.to_pylist()):
+    def rows(text: pa.Array, starts: pa.Array, again: pa.Array):
+        some = ((s, copy) for x, y in zip(slices(starts), slices(again)) for s, copy in zip(x.to_pylist(), y.to_pylist()))
+        for t, (s, copy) in zip(as_bytes(text), some):
             words = t.split() if t else []
             n = len(words)
             at = np.array(s or [], np.int64)
@@ -290,11 +290,13 @@ def _remove(window: int):
             elif n >= window:
                 at = np.concatenate((at, self_repeats(words, window)))
             if not len(at):
-                out.append({"n_words": n, "n_removed": 0, "text": None if t is None else t.decode(), "spans": []})
+                yield {"n_words": n, "n_removed": 0, "text": None if t is None else t.decode(), "spans": []}
                 continue
             gone = covered(at, n, window)
-            out.append({"n_words": n, "n_removed": int(gone.sum()), "text": kept_text(t, gone).decode(), "spans": [{"start": a, "end": b} for a, b in _runs(gone)]})
-        return pa.array(out, _RESULT)
+            yield {"n_words": n, "n_removed": int(gone.sum()), "text": kept_text(t, gone).decode(), "spans": [{"start": a, "end": b} for a, b in _runs(gone)]}
+
+    def remove(text: pa.Array, starts: pa.Array, again: pa.Array) -> pa.Array:
+        return in_arrow(rows(text, starts, again), _RESULT)
 
     return arrow_udf(remove, RESULT).asNondeterministic()
 

@@ -32,11 +32,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import NULL_KEY, claim, cut, fresh_dir, id_key, open_fs
+from ._common import NULL_KEY, claim, cut, fresh_dir, give_back, id_key, open_fs
 
 CACHE = 500_000
 KEEP = 64  # bytes of the longest piece that is remembered
-CHUNK = 4 << 20  # bytes of text that are encoded at once
+CHUNK = 2 << 20  # bytes of text that are encoded at once
 _MAGIC = b"RPR1"
 _encoders: dict[str, "Encoder"] = {}
 _SPACE = np.zeros(256, bool)
@@ -282,6 +282,7 @@ class Encoder:
         while at < len(texts):
             to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + CHUNK, "right")))
             yield at, *self.encode_array(texts.slice(at, to - at), end)
+            give_back(int(size[at:to].sum()))
             at = to
 
     def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:

@@ -2,13 +2,19 @@ import importlib.util
 import math
 import random
 import re
+import subprocess
+import sys
+import tracemalloc
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkprep.llm import langid
+from sparkprep.llm import _common, langid, packing, substring_dedup
 from sparkprep.llm.queries import ORACLE, QUERIES
 from tests.llm.conftest import SCHEMA, prose
 from tests.llm.test_storage_operators import check_sequences
@@ -122,3 +128,63 @@ def test_near_duplicates_by_row(spark):
     first = {r.t: r.x for r in spark.createDataFrame([(t,) for t in (p, near(p), x, near(x))], "t string").selectExpr("t", "xxhash64(t) as x").collect()}
     least = lambda t: min(t, near(t), key=first.get)
     assert got == Counter([(5, a), (3, near(b)), (None, least(p)), (9, q), (9, r), (7, least(x)), (None, ""), (None, ""), (None, None), (None, None)])
+
+
+def most(work) -> int:
+    """MB of Python objects and arrays at once."""
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] >> 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_workers_hold_few_rows_as_objects(spark):
+    texts = pa.array([f"{k} " + "x" * 2000 for k in range(12_000)])  # 24 MB
+    assert most(lambda: sum(map(len, _common.as_bytes(texts)))) < 6
+    remove = substring_dedup._remove(20).func
+    assert most(lambda: remove(texts, pa.nulls(len(texts), pa.list_(pa.int32())), pa.array([False] * len(texts)))) < 6
+    pieces = pa.array([[np.full(40, k, "<u2").tobytes()] * 20 for k in range(5000)], pa.list_(pa.binary()))  # 8 MB, 16 MB as integers
+    assert most(lambda: packing._numbers(pieces)) < 24
+
+
+def test_rows_in_slices_are_all_there(spark):
+    texts = pa.array([None if k % 7 == 0 else f"t{k}" for k in range(3 * _common.ROWS + 5)])
+    for a in (texts, texts.slice(3, _common.ROWS), texts.slice(9, 0), texts.cast(pa.large_string())):
+        assert list(_common.as_bytes(a)) == [None if t is None else t.encode() for t in a.to_pylist()]
+        assert _common.in_arrow(iter(a.to_pylist()), pa.string()).to_pylist() == a.to_pylist()
+    starts = pa.array([[k % 5] if k % 3 else None for k in range(700)], pa.list_(pa.int32()))
+    got = substring_dedup._remove(4).func(pa.array(["a b c d e f g h i"] * 700), starts, pa.array([k % 10 == 9 for k in range(700)]))
+    for k, r in enumerate(got.to_pylist()):
+        assert r["n_removed"] == (9 if k % 10 == 9 else 4 if k % 3 else 0) and (k % 10 == 9 or r["spans"] == ([{"start": k % 5, "end": k % 5 + 4}] if k % 3 else []))
+
+
+def test_numbers_of_pieces():
+    ids = [[[1, 2], [65535]], [[3]], [], [[9, 8], []]]
+    array = pa.array([[np.array(p, "<u2").tobytes() for p in row] for row in ids], pa.list_(pa.binary()))
+    want = [[i for p in row for i in p] for row in ids]
+    for a, n in ((0, 4), (1, 3), (2, 1), (3, 1), (0, 0)):
+        assert packing._numbers(array.slice(a, n)).to_pylist() == want[a : a + n]
+
+
+GIVE_BACK = r"""
+import re
+from sparkprep.llm import _common
+
+def held():
+    return int(re.search(r"RssAnon:\s+(\d+)", open("/proc/self/status").read()).group(1)) >> 10
+
+before = held()
+blocks = [bytes(2000) for _ in range(50_000)]  # 95 MB below a block that stays
+_common.claim("one", lambda: blocks.__delitem__(slice(0, -1)))
+assert held() - before > 80
+_common.claim("two", None)
+assert held() - before < 30, held() - before
+"""
+
+
+@pytest.mark.skipif(not sys.platform.startswith("linux") or getattr(_common, "_malloc_trim", 1) is None, reason="needs glibc")
+def test_operators_give_memory_back_to_the_next_one():
+    got = subprocess.run([sys.executable, "-c", GIVE_BACK], capture_output=True, text=True)
+    assert got.returncode == 0, got.stderr
