@@ -211,3 +211,70 @@ def test_avro_says_its_schema(spark, tmp_path):
 def test_apply_learns_from_all_rows(spark):
     got = reshape.apply(spark.range(3000).coalesce(1), lambda r: {"id": r["id"]} if r["id"] < 2000 else {"id": r["id"] + 0.5, "late": [r["id"]]})
     assert got.dtypes == [("id", "double"), ("late", "array<bigint>")] and got.filter("late[0] = id - 0.5").count() == 1000
+
+
+def test_bson_files_are_read_in_parts(spark, tmp_path):
+    raw = b"".join(bson.encode({"n": k, "s": "ж" * (k % 7), "x": float("nan") if k == 5 else k / 2, "deep": {"k": [k]} if k % 3 else None}) for k in range(2000)) + bson.encode({"late": True})
+    (tmp_path / "a.bson").write_bytes(raw)
+    (tmp_path / "b.bson.gz").write_bytes(gzip.compress(raw))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        for schema_ in (None, "n long, s string, x double, deep struct<k:array<bigint>>, late boolean"):
+            got = read(spark, str(tmp_path / "a.bson"), schema=schema_)
+            assert got.rdd.getNumPartitions() > 4 and got.columns == ["n", "s", "x", "deep", "late"]
+            assert [r.n for r in got.orderBy("n").collect()] == [None, *range(2000)]
+            assert got.filter("isnan(x)").first().n == 5 and got.filter("n = 8").first().asDict(True) == {"n": 8, "s": "ж", "x": 4.0, "deep": {"k": [8]}, "late": None}
+            assert read(spark, str(tmp_path / "b.bson.gz"), schema=schema_).exceptAll(got).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+@pytest.mark.parametrize("block, documents, shapes", [(10, 3, 64), (300, 7, 2), (1 << 20, 20_000, 64)])
+def test_bson_columns_are_those_of_records(monkeypatch, block, documents, shapes):
+    import datetime as dt
+    import random
+    import struct
+
+    from sparkprep.sources import bson_columns, records
+
+    for name, n in (("BLOCK", block), ("DOCUMENTS", documents), ("SHAPES", shapes)):
+        monkeypatch.setattr(bson_columns, name, n)
+    # object ids, regular expressions, decimals, doubled names, undefined
+    odd = [b"\x07_id\x00" + bytes(range(12)), b"\x0br\x00ab\x00i\x00", b"\x13z\x00" + bytes(16), b"\x10q\x00\x01\x00\x00\x00\x12q\x00\x02" + bytes(7), b"\x06u\x00"]
+    for seed in range(20):
+        rnd, raw = random.Random(seed), b""
+        alike = [lambda: rnd.choice([1, -(2**40), None]), lambda: rnd.choice([1, 0.5]), lambda: "ж" * rnd.randrange(90), lambda: rnd.choice([True, None]), lambda: dt.datetime(rnd.choice([1, 1969, 9999]), 12, 31, 5, tzinfo=dt.timezone.utc), lambda: bytes(rnd.randrange(3)), lambda: {rnd.choice("xy"): rnd.choice([1, "s", [2.5]])}, lambda: [rnd.choice([1, {"p": 1}])]]
+        kinds = {k: rnd.choice(alike) for k in "abcdef"}
+        for _ in range(100):
+            body = bson.encode({k: (rnd.choice(alike) if rnd.random() < 0.02 else make)() for k, make in kinds.items() if rnd.random() < 0.9})[4:-1]
+            body += rnd.choice(odd) if rnd.random() < 0.2 else b""
+            raw += struct.pack("<i", len(body) + 5) + body + b"\x00"
+        want = list(bson.documents(io.BytesIO(raw)))
+        kind, cuts = bson_columns.survey(io.BytesIO(raw), 500)
+        assert kind == records.union(map(records.type_of, want)) == records.types_of(want) and len(cuts) > 3
+        schema_, got = records.settle(kind), []
+        for a, b in zip(cuts, cuts[1:]):
+            got += [tuple(r.values()) for x in bson_columns.batches(io.BytesIO(raw[a:]), schema_, b - a) for r in x.to_pylist()]
+        assert got == [tuple(records.plain(x, f.dataType) for x, f in zip(records.row(r, schema_), schema_.fields)) for r in want]
+        for bad, why in ((raw[:-3], "document"), (raw + b"\x01", "length")):
+            with pytest.raises(ValueError, match=f"truncated BSON {why}"):
+                list(bson_columns.blocks(io.BytesIO(bad)))
+
+
+def test_bson_of_batches_is_that_of_records(spark, tmp_path):
+    df = spark.sql("SELECT bigint(1099511627776) a, 2147483647 b, double('NaN') c, float(1.5) d, 'жé' e, true f, timestamp'2020-01-02 03:04:05.678' g, date'2020-01-02' h, 1.50BD i, x'0001' j, array(struct(1 AS x, null AS y), null) k, map('q', 1) l, null m UNION ALL SELECT 2147483648, -1, -0.0, 0, '', false, timestamp'1969-12-31 23:59:59.999', date'0001-01-01', -0.01, x'', array(), map(), null UNION ALL SELECT null, null, null, null, null, null, null, null, null, null, null, null, null")
+    write(df.coalesce(1), str(tmp_path / "t.bson"))
+    (part,) = (tmp_path / "t.bson").glob("part-*.bson")
+    got = list(bson.documents(io.BytesIO(part.read_bytes())))
+    assert b"".join(map(bson.encode, got)) == part.read_bytes()
+    assert [(r["a"], r["b"], r["d"], r["e"], r["f"], r["h"], r["i"], r["j"], r["k"], r["l"], r["m"]) for r in got] == [
+        (2**40, 2**31 - 1, 1.5, "жé", True, "2020-01-02", "1.50", b"\x00\x01", [{"x": 1, "y": None}, None], {"q": 1}, None),
+        (2**31, -1, 0.0, "", False, "0001-01-01", "-0.01", b"", [], {}, None),
+        (None,) * 11,
+    ]
+    assert [r["g"] and r["g"].isoformat() for r in got] == ["2020-01-02T03:04:05.678000+00:00", "1969-12-31T23:59:59.999000+00:00", None] and got[0]["c"] != got[0]["c"]
+    write(spark.sql("SELECT parse_json('{\"a\":1}') v, 1 n"), str(tmp_path / "v.bson"))
+    assert [list(bson.documents(io.BytesIO(p.read_bytes()))) for p in (tmp_path / "v.bson").glob("part-*.bson")] == [[{"v": '{"a":1}', "n": 1}]]
+    write(spark.createDataFrame([], "n int"), str(tmp_path / "e.bson"))
+    assert (tmp_path / "e.bson" / "_SUCCESS").exists()
