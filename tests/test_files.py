@@ -278,3 +278,15 @@ def test_bson_of_batches_is_that_of_records(spark, tmp_path):
     assert [list(bson.documents(io.BytesIO(p.read_bytes()))) for p in (tmp_path / "v.bson").glob("part-*.bson")] == [[{"v": '{"a":1}', "n": 1}]]
     write(spark.createDataFrame([], "n int"), str(tmp_path / "e.bson"))
     assert (tmp_path / "e.bson" / "_SUCCESS").exists()
+
+
+@pytest.mark.parametrize("codec", ["deflate", "null"])
+def test_avro_of_batches_is_that_of_records(codec):
+    import pyarrow as pa
+
+    texts = [("a" * (k % 90), None if k % 3 else "ж") for k in range(2500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in zip(*texts)], ["a", "b"])
+    f = io.BytesIO()
+    avro.write_blocks(f, ["a", "b"], (x for b in (batch.slice(0, 1), batch.slice(1), batch.slice(0, 0)) for x in avro.text_blocks(b)), codec)
+    f.seek(0)
+    assert [tuple(r.values()) for r in avro.records(f)] == texts
